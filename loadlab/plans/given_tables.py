@@ -33,8 +33,8 @@ def slowlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
           '] took[', value, 'ms], took_millis[', cast(floor(value) as bigint),
           '], types[', if(value >= 50, 'doc', ''), '], stats[], search_type[',
           if(value >= 100, 'DFS_QUERY_THEN_FETCH', 'QUERY_THEN_FETCH'),
-          '], total_shards[5], source[{"size": ', user_id,
-          ', "query": {"term": {"k": ', get_json_object(props, '$.k'), '}}',
+          '], total_shards[5], source[{"size": ', user_id, ', "preference": "user-', user_id,
+          '", "query": {"term": {"k": ', get_json_object(props, '$.k'), '}}',
           if(event_type = 'error' and value < 5, '', '}'), '], extra_source[]')
         """).alias("value"),
     )
@@ -89,3 +89,16 @@ def node_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey as k", "o_custkey as c", "unix_seconds(cast(o_orderdate as timestamp)) as t", "o_orderpriority"
     )
     return named.select(F.col("k").alias("poll_id"), F.expr(body).alias("body"))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits out of ``pages``: an id, a URL, a nested source and a list of links."""
+    html_lang = F.regexp_extract("html", 'lang="([^"]+)"', 1)
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("_id"),
+        "url",
+        F.struct(F.col("url").alias("url"), html_lang.alias("lang"), F.length("html").alias("size")).alias("_source"),
+        F.array(
+            F.struct(F.concat(F.col("url"), F.lit("#top")).alias("url")), F.struct(F.lit("mailto:x").alias("url"))
+        ).alias("links"),
+    )

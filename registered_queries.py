@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.operators import arrivals, attribution, hits, nodes, reports, requests, sequence
+from loadlab.functions import documents
+from loadlab.operators import arrivals, attribution, hits, nodes, pseudonyms, reports, requests, sequence
 from loadlab.plans import given_tables as given, loadspecs
 from loadlab.session import prepare, stage
 
@@ -43,7 +44,7 @@ log AS (
          'host' || (user_id % 3) AS host,
          CASE WHEN value >= 50 THEN 'doc' ELSE '' END AS types,
          CASE WHEN value >= 100 THEN 'dfs_query_then_fetch' ELSE 'query_then_fetch' END AS search_type,
-         '{"query":{"term":{"k":' || regexp_extract(props, '[0-9]+') || '}},"size":' || user_id || '}' AS body
+         '{"preference":"user-' || user_id || '","query":{"term":{"k":' || regexp_extract(props, '[0-9]+') || '}},"size":' || user_id || '}' AS body
   FROM events
   WHERE event_type <> 'signup' AND NOT (event_type = 'error' AND (value >= 200 OR value < 5))
 )"""
@@ -344,3 +345,217 @@ def gauge_report(spark, sf_dir):
         "ts", "id", F.col("took_in_millis").alias("used"), F.col("latency_micros").alias("max")
     )
     return reports.gauge_report(polls, ["used", "max"], TICK, newest=F.struct("ts", "id"))
+
+
+# --- pseudonyms -------------------------------------------------------------
+
+PAGE_OPTIONS = [r"url::https?://([^/]+)", "lang"]
+
+# Members of a page in schema order: url, _source.url, _source.lang, links[0].url.
+PAGES = r"""
+found AS (
+  SELECT page_id, url, regexp_extract(url, 'https?://([^/]+)', 1) AS host,
+         regexp_extract(html, 'lang="([^"]+)"', 1) AS lang, length(html) AS size
+  FROM pages
+),
+members AS (
+  SELECT 'url' AS field, host AS "key", page_id, 0 AS place FROM found WHERE host <> ''
+  UNION ALL SELECT 'lang', lang, page_id, 2 FROM found WHERE lang <> ''
+),
+firsts AS (SELECT field, "key", min(page_id * 10 + place) AS first FROM members GROUP BY field, "key"),
+ids AS (
+  SELECT field, "key", CAST(row_number() OVER (PARTITION BY field ORDER BY first) - 1 AS VARCHAR) AS anon FROM firsts
+)"""
+
+
+def page_patterns():
+    return documents.field_patterns(PAGE_OPTIONS)
+
+
+@query("pseudonym_map", f'WITH {PAGES} SELECT field, "key", anon FROM ids')
+def pseudonym_map(spark, sf_dir):
+    return pseudonyms.build_map(given.page_documents(spark, sf_dir), page_patterns(), ["_id"])
+
+
+def page_columns(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        "_id",
+        "url",
+        F.col("_source.url").alias("source_url"),
+        F.col("_source.lang").alias("source_lang"),
+        F.col("_source.size").cast("bigint").alias("source_size"),
+    )
+
+
+SWAPPED = """
+    FROM found
+    LEFT JOIN ids h ON h.field = 'url' AND h."key" = host
+    LEFT JOIN ids l ON l.field = 'lang' AND l."key" = lang"""
+
+
+@query(
+    "pseudonymised_pages",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(url, host, h.anon), url) AS source_url,
+           coalesce(replace(lang, lang, l.anon), lang) AS source_lang, size AS source_size {SWAPPED}""",
+)
+def pseudonymised_pages(spark, sf_dir):
+    """Fields at the top and in an object only: documents stay where they are."""
+    pages = given.page_documents(spark, sf_dir).drop("links")
+    return page_columns(pseudonyms.pseudonymise(pages, page_patterns(), ["_id"])[0])
+
+
+@query(
+    "pseudonymised_links",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(url || '#top', host, h.anon), url || '#top') AS link, 'mailto:x' AS other_link {SWAPPED}""",
+)
+def pseudonymised_links(spark, sf_dir):
+    """A field in a list of objects as well: documents are joined by their id."""
+    rewritten, _ = pseudonyms.pseudonymise(given.page_documents(spark, sf_dir), page_patterns(), ["_id"])
+    return rewritten.select(
+        "_id", "url", F.col("links")[0]["url"].alias("link"), F.col("links")[1]["url"].alias("other_link")
+    )
+
+
+@query(
+    "pseudonym_map_extended",
+    f"""WITH {PAGES},
+    first_run AS (
+      SELECT m.field, m."key", min(m.page_id * 10 + m.place) AS first
+      FROM members m JOIN found USING (page_id) WHERE lang = 'en' GROUP BY m.field, m."key"),
+    ranked AS (
+      SELECT f.field, f."key", row_number() OVER (PARTITION BY f.field ORDER BY r.first IS NULL, r.first, f.first) - 1 AS n
+      FROM firsts f LEFT JOIN first_run r ON r.field = f.field AND r."key" = f."key")
+    SELECT field, "key", CAST(n AS VARCHAR) AS anon FROM ranked""",
+)
+def pseudonym_map_extended(spark, sf_dir):
+    """The English pages first, then all pages with that dictionary known."""
+    pages = given.page_documents(spark, sf_dir)
+    known = stage(pseudonyms.build_map(pages.where("_source.lang = 'en'"), page_patterns(), ["_id"]), "known")
+    return pseudonyms.build_map(pages, page_patterns(), ["_id"], known)
+
+
+@query(
+    "pseudonymised_requests",
+    f"""WITH {LOG},
+    firsts AS (SELECT user_id, min(event_id) AS first FROM log GROUP BY user_id),
+    ids AS (SELECT user_id, row_number() OVER (ORDER BY first) - 1 AS anon FROM firsts)
+    SELECT row_number() OVER (ORDER BY ts_nanos, event_id) - 1 AS id,
+           coalesce(ts_nanos - lag(ts_nanos) OVER (ORDER BY ts_nanos, event_id), 0) AS delay_since_last_nanos,
+           host || '/' || event_type || '/' || types || '/_search?search_type=' || search_type AS url,
+           '{{"preference":"user-' || anon || '","query":{{"term":{{"k":' || k || '}}}},"size":' || user_id || '}}' AS source
+    FROM log JOIN ids USING (user_id)""",
+)
+def pseudonymised_requests(spark, sf_dir):
+    patterns = documents.field_patterns([r"preference::user-(\d+)"])
+    spec = loadspecs.from_slowlog(
+        given.slowlog_lines(spark, sf_dir),
+        pseudonymise=lambda rows: pseudonyms.json_pseudonymise(rows, patterns, ["ord"])[0],
+    )
+    return spec.select(*loadspecs.COLUMNS)
+
+
+# --- requests against the loadspec ------------------------------------------
+
+JOINED = f"WITH {SPEC}," + ATTEMPTS.replace("SELECT event_id AS id", "SELECT event_id") + """,
+sent AS (
+  SELECT s.id, s.url, s.source, j.ts, j.code, j.outcome,
+         CASE WHEN j.code = 200 THEN took ELSE 0 END AS took_in_millis,
+         CASE WHEN j.code = 200 THEN latency ELSE 0 END AS latency_micros
+  FROM spec s JOIN judged j USING (event_id))"""
+
+
+def replayed(spark, sf_dir):
+    """A loadspec and what came back for each of its entries."""
+    spec = stage(loadspecs.from_slowlog(given.slowlog_lines(spark, sf_dir)), "loadspec")
+    came_back = given.attempts(spark, sf_dir).withColumnRenamed("id", "ord")
+    return spec, came_back.join(spec.select("ord", "id"), "ord").drop("ord")
+
+
+@query(
+    "request_attribution",
+    JOINED + """ SELECT id, ts, code, took_in_millis, latency_micros, url, source FROM sent WHERE code IS NOT NULL""",
+)
+def request_attribution(spark, sf_dir):
+    spec, attempts = replayed(spark, sf_dir)
+    return attribution.attribute(attribution.request_rows(attempts), spec)
+
+
+@query("unsent_requests", JOINED + " SELECT id, url, source FROM sent WHERE code IS NULL")
+def unsent_requests(spark, sf_dir):
+    spec, attempts = replayed(spark, sf_dir)
+    return attribution.unsent(spec, attribution.request_rows(attempts)).select("id", "url", "source")
+
+
+@query(
+    "latency_by_url",
+    JOINED + """
+    SELECT url, count(*) AS requests, CAST(count(*) FILTER (outcome IN ('client_error', 'error')) AS BIGINT) AS errors,
+           round(quantile_cont(took_in_millis, 0.5) FILTER (code = 200), 6) AS p50,
+           round(quantile_cont(took_in_millis, 0.9) FILTER (code = 200), 6) AS p90,
+           round(quantile_cont(took_in_millis, 0.99) FILTER (code = 200), 6) AS p99,
+           round(quantile_cont(took_in_millis, 0.999) FILTER (code = 200), 6) AS p999
+    FROM sent WHERE code IS NOT NULL GROUP BY url""",
+)
+def latency_by_url(spark, sf_dir):
+    spec, attempts = replayed(spark, sf_dir)
+    report = attribution.latency_by(attribution.request_rows(attempts), spec)
+    return report.select("url", "requests", "errors", *[F.round(q, 6).alias(q) for q in fixed.QUANTILE_NAMES])
+
+
+# --- node metrics -----------------------------------------------------------
+
+NODES = """
+polls AS (
+  SELECT o_orderkey AS k, o_custkey AS c, 'node-' || substr(o_orderpriority, 1, 1) AS node_id,
+         epoch_us(o_orderdate) // 1000000 AS poll_ts FROM orders)"""
+
+
+@query(
+    "node_cpu",
+    f'WITH {NODES} SELECT poll_ts, node_id, k % 100 AS percent, k * 10 AS "time" FROM polls',
+)
+def node_cpu(spark, sf_dir):
+    return nodes.series(nodes.parse_polls(given.node_polls(spark, sf_dir)), "cpu")
+
+
+@query(
+    "node_series",
+    f"""WITH {NODES}, tall AS (
+      SELECT poll_ts, node_id, unnest([
+        {{'series': 'mem.young', 'metric': 'used', 'value': k + 1}}, {{'series': 'mem.young', 'metric': 'max', 'value': k + 2}},
+        {{'series': 'mem.survivor', 'metric': 'used', 'value': k + 3}}, {{'series': 'mem.survivor', 'metric': 'max', 'value': k + 4}},
+        {{'series': 'mem.tenured', 'metric': 'used', 'value': k + 5}}, {{'series': 'mem.tenured', 'metric': 'max', 'value': k + 6}},
+        {{'series': 'mem.heap', 'metric': 'used', 'value': c * 3}}, {{'series': 'mem.heap', 'metric': 'commited', 'value': c * 5}},
+        {{'series': 'mem.nonheap', 'metric': 'used', 'value': c + 1}}, {{'series': 'mem.nonheap', 'metric': 'commited', 'value': c + 2}},
+        {{'series': 'mem.os', 'metric': 'used', 'value': c}}, {{'series': 'mem.os', 'metric': 'total', 'value': c * 100}},
+        {{'series': 'mem.swap', 'metric': 'used', 'value': 0}}, {{'series': 'mem.swap', 'metric': 'total', 'value': 0}},
+        {{'series': 'cpu', 'metric': 'percent', 'value': k % 100}}, {{'series': 'cpu', 'metric': 'time', 'value': k * 10}},
+        {{'series': 'gc.young', 'metric': 'count', 'value': k + 7}}, {{'series': 'gc.young', 'metric': 'time', 'value': k + 8}},
+        {{'series': 'gc.full', 'metric': 'count', 'value': k + 9}}, {{'series': 'gc.full', 'metric': 'time', 'value': k + 10}}
+      ]) AS e FROM polls)
+    SELECT poll_ts, node_id, e.series AS series, e.metric AS metric, CAST(e.value AS BIGINT) AS "value" FROM tall""",
+)
+def node_series(spark, sf_dir):
+    return nodes.all_series(nodes.parse_polls(given.node_polls(spark, sf_dir)))
+
+
+@query(
+    "node_gauges",
+    f"""WITH {NODES}, newest AS (
+      SELECT node_id, (poll_ts // 86400 + 1) * 86400 AS ts, last(k + 1 ORDER BY poll_ts, k) AS used, last(k + 2 ORDER BY poll_ts, k) AS "max"
+      FROM polls GROUP BY ALL),
+    spine AS (SELECT node_id, unnest(range(min(ts), max(ts) + 1, 86400)) AS ts FROM newest GROUP BY node_id)
+    SELECT node_id, ts, last_value(used IGNORE NULLS) OVER w AS used, last_value("max" IGNORE NULLS) OVER w AS "max"
+    FROM spine LEFT JOIN newest USING (node_id, ts)
+    WINDOW w AS (PARTITION BY node_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def node_gauges(spark, sf_dir):
+    """One day per tick; of the polls of a day the last order counts."""
+    polls = nodes.series(nodes.parse_polls(given.node_polls(spark, sf_dir)), "mem.young")
+    return reports.gauge_report(
+        polls, ["used", "max"], 86_400, time="poll_ts", newest=F.struct("poll_ts", "used"), keys=["node_id"]
+    )
