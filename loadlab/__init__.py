@@ -1 +1,9 @@
 """loadlab: search-load analytics as plain DataFrame-to-DataFrame functions."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with their task, so
+# executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -23,8 +23,8 @@ MIN_BLOCK_ROWS = 100_000
 _ROW_BITS = (1 << 33) - 1  # row part of monotonically_increasing_id()
 
 
-def _tag_previous(column: str):
-    """Add run, place in the run and the previous row's ``column`` to Arrow
+def _tag_previous(columns: list[str]):
+    """Add run, place in the run and the previous row's ``columns`` to Arrow
     batches of one sorted partition.
 
     A window would need a second shuffle of whole rows to learn what the range
@@ -41,14 +41,15 @@ def _tag_previous(column: str):
             rows = batch.num_rows
             if not rows:
                 continue
-            values = batch.column(column)
-            previous = pa.concat_arrays([pa.array([last], values.type), values.slice(0, rows - 1)])
-            last = values[rows - 1].as_py()
             added = {
                 "_run": pa.array(np.full(rows, run, dtype=np.int32)),
                 "_place": pa.array(np.arange(place, place + rows, dtype=np.int64)),
-                "_previous": previous,
             }
+            for column in columns:
+                values = batch.column(column)
+                before = pa.array([last[column] if last else None], values.type)
+                added[f"_previous_{column}"] = pa.concat_arrays([before, values.slice(0, rows - 1)])
+            last = {column: batch.column(column)[rows - 1].as_py() for column in columns}
             place += rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
@@ -57,33 +58,34 @@ def _tag_previous(column: str):
     return tag
 
 
-def in_order(df: DataFrame, order: list[str], previous: str | None = None, position: str = "id") -> DataFrame:
+def in_order(df: DataFrame, order: list[str], previous: list[str] = (), position: str = "id") -> DataFrame:
     """Add the dense 0-based ``position`` of each row in the order of ``order``.
 
     ``order`` must identify a row, so ties have one answer and equal leading
     values (a third of all rows in one millisecond) spread over many tasks.
-    With ``previous``, a BIGINT column, ``previous_<column>`` holds its value in
+    For every column in ``previous``, ``previous_<column>`` holds its value in
     the row before (NULL in the first row).
 
     One shuffle of whole rows; the sorted rows are staged once because range
-    bounds are sampled and must not be drawn twice.
+    bounds are sampled and must not be drawn twice.  Sampling reads ``df`` a
+    second time, so hand in something cheap to read.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    if previous is None:
+    if previous:
+        types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        columns = {**types, "_run": "int", "_place": "bigint", **{f"_previous_{c}": types[c] for c in previous}}
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
+        tagged = ranged.mapInArrow(_tag_previous(list(previous)), schema)
+    else:
         tagged = ranged.select(
             "*",
             F.spark_partition_id().alias("_run"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_place"),
         )
-    else:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        tagged = ranged.mapInArrow(
-            _tag_previous(previous), f"{schema}, _run INT, _place BIGINT, _previous BIGINT"
-        )
     rows = stage(tagged, "ordered")
 
     # One row per range partition: the partition count bounds the broadcast.
-    last = F.max_by(previous, "_place") if previous else F.lit(None)
+    last = F.max_by(F.struct(*previous), "_place") if previous else F.lit(None)
     runs = rows.groupBy("_run").agg(F.count("*").alias("_rows"), last.alias("_last"))
     by_run = W.orderBy("_run")
     runs = runs.select(
@@ -92,12 +94,11 @@ def in_order(df: DataFrame, order: list[str], previous: str | None = None, posit
         F.lag("_last").over(by_run).alias("_carried"),
     )
     numbered = rows.join(F.broadcast(runs), "_run")
-    columns = [*df.columns, (F.col("_offset") + F.col("_place")).alias(position)]
-    if previous:
-        columns.append(
-            F.when(F.col("_place") == 0, F.col("_carried")).otherwise(F.col("_previous")).alias(f"previous_{previous}")
-        )
-    return numbered.select(*columns)
+    carried = [
+        F.when(F.col("_place") == 0, F.col(f"_carried.{c}")).otherwise(F.col(f"_previous_{c}")).alias(f"previous_{c}")
+        for c in previous
+    ]
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(position), *carried)
 
 
 def block_rows_for(total: int, block_rows: int | None = None) -> int:
@@ -138,7 +139,7 @@ def running_total(
 
 def arrival_delays(df: DataFrame, time: str = "ts_nanos", tie_break: list[str] = ("ord",)) -> DataFrame:
     """Requests in time order with ``id`` and ``delay_since_last_nanos`` (0 in the first row)."""
-    ordered = in_order(df, [time, *tie_break], previous=time)
+    ordered = in_order(df, [time, *tie_break], previous=[time])
     delay = F.coalesce(F.col(time) - F.col(f"previous_{time}"), F.lit(0).cast("bigint"))
     return ordered.withColumn("delay_since_last_nanos", delay).drop(f"previous_{time}")
 

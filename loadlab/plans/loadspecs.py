@@ -35,9 +35,11 @@ def from_slowlog(
     parsed = requests.replayable(lines)
     needed = parsed.select(*order, *keep, "ts_nanos", "host", "index", "types", "search_type", "body")
     # Lines are matched once; sampling, cutting and sorting then read columns.
-    rows = requests.override_index(needed, list(indexes), order) if indexes else stage(needed, "requests")
+    rows = stage(needed, "requests")
+    if indexes:
+        rows = requests.override_index(rows, list(indexes), order)
     if pseudonymise is not None:
-        rows = pseudonymise(rows)
+        rows = stage(pseudonymise(rows), "pseudonymised")
     rows = sequence.cut_at_duration(requests.with_url(rows, server), max_nanos)
     wide = rows.select(*order, *keep, "ts_nanos", "url", rows["body"].alias("source"))
     ordered = sequence.arrival_delays(wide, tie_break=order)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import documents
-from loadlab.operators import arrivals, attribution, hits, nodes, pseudonyms, reports, requests, sequence
+from loadlab.operators import arrivals, attribution, cooldown, hits, nodes, pseudonyms, reports, requests, sequence
 from loadlab.plans import given_tables as given, loadspecs
 from loadlab.session import prepare, stage
 
@@ -506,6 +506,31 @@ def latency_by_url(spark, sf_dir):
     return report.select("url", "requests", "errors", *[F.round(q, 6).alias(q) for q in fixed.QUANTILE_NAMES])
 
 
+@query(
+    "cooldown_kept",
+    f"""WITH RECURSIVE {SPEC}, timed AS (
+      SELECT id, event_id, ts_nanos - min(ts_nanos) OVER () AS at_nanos, delay_since_last_nanos FROM spec),
+    asked AS (
+      SELECT t.id, at_nanos - delay_since_last_nanos AS previous_at,
+             at_nanos + ((user_id % 7) * 1000 + 500) * 1000000000 AS finish
+      FROM timed t JOIN events e USING (event_id) WHERE event_type = 'error' AND user_id % 5 IN (0, 1)),
+    accepted AS (
+      SELECT id, finish FROM asked WHERE id = (SELECT min(id) FROM asked)
+      UNION ALL
+      SELECT n.id, n.finish FROM accepted a, LATERAL (
+        SELECT id, finish FROM asked WHERE previous_at >= a.finish ORDER BY id LIMIT 1) n)
+    SELECT id, CAST(at_nanos AS BIGINT) AS at_nanos FROM timed t
+    WHERE NOT EXISTS (
+      SELECT 1 FROM accepted a WHERE a.id < t.id AND t.at_nanos - t.delay_since_last_nanos < a.finish)""",
+)
+def cooldown_kept(spark, sf_dir):
+    """Pauses are taken as a thousand times as long, since events are minutes apart."""
+    spec, attempts = replayed(spark, sf_dir)
+    pauses = attempts.where("code IN (429, 503)").select("id", (F.col("pause_millis") * 1000 * 1_000_000).alias("pause_nanos"))
+    timed = stage(sequence.schedule(spec), "schedule")
+    return cooldown.kept(timed, pauses).select("id", "at_nanos")
+
+
 # --- node metrics -----------------------------------------------------------
 
 NODES = """
