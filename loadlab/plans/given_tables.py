@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlab.functions.outcomes import retry_after_millis
 from loadlab.operators.sequence import in_order
+from loadlab.session import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +110,17 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.concat(F.col("url"), F.lit("#top")).alias("url")), F.struct(F.lit("mailto:x").alias("url"))
         ).alias("links"),
     )
+
+
+def replay(df: DataFrame, by: str, start, arrivals: int = 3) -> None:
+    """Let all of ``df`` arrive in the order of ``by``, and run a stream over each arrival.
+
+    ``start(stream)`` starts a query that ends when it has read all files there
+    are; every arrival resumes it from its checkpoint.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "arriving")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - low) * arrivals / (high - low + 1)), F.lit(arrivals - 1))
+    for number in range(arrivals):
+        df.where(part == number).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()

@@ -15,7 +15,9 @@ from loadlab import fixed_values as fixed
 from loadlab.functions import documents
 from loadlab.operators import arrivals, attribution, cooldown, hits, nodes, pseudonyms, reports, requests, sequence
 from loadlab.plans import given_tables as given, loadspecs
-from loadlab.session import prepare, stage
+from loadlab.session import new_folder, prepare, stage
+from loadlab.streaming import batches, delays, slowlog as slowlog_stream, ticks
+from loadlab.streaming.pseudonyms import stream_pseudonymise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -584,3 +586,121 @@ def node_gauges(spark, sf_dir):
     return reports.gauge_report(
         polls, ["used", "max"], 86_400, time="poll_ts", newest=F.struct("poll_ts", "used"), keys=["node_id"]
     )
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def written(spark, arriving: DataFrame, by: str, transform) -> DataFrame:
+    """Run an append-mode stream over all arrivals and read its output."""
+    folder = new_folder(spark, "stream")
+    schemas = []
+
+    def start(stream):
+        out = transform(stream)
+        schemas.append(out.schema)
+        writer = out.writeStream.format("parquet").option("checkpointLocation", folder + "-checkpoint")
+        return writer.option("path", folder).outputMode("append").trigger(availableNow=True).start()
+
+    given.replay(arriving, by, start)
+    return spark.read.schema(schemas[-1]).parquet(folder)
+
+
+def timed_events(spark, sf_dir) -> DataFrame:
+    return given.table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.col("ts").cast("timestamp").alias("time"),
+        F.expr("unix_micros(cast(ts as timestamp))").alias("us"),
+        F.expr("cast(floor(value) as bigint)").alias("took_in_millis"),
+    )
+
+
+# Ticks that end no later than the newest event less the watermark delay are closed.
+CLOSED = """
+ticks AS (SELECT *, epoch_us(ts) // 3600000000 * 3600 + 3600 AS tick FROM events),
+closed AS (SELECT * FROM ticks WHERE tick * 1000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000)"""
+
+
+@query(
+    "stream_latency",
+    f"""WITH {CLOSED}, q AS (
+      SELECT tick, count(*) AS n, quantile_cont(CAST(floor(value) AS BIGINT), [0.5, 0.9, 0.99, 0.999]) AS v
+      FROM closed GROUP BY tick)
+    SELECT tick AS ts, n AS "count", round(v[1], 6) AS p50, round(v[2], 6) AS p90, round(v[3], 6) AS p99,
+           round(v[4], 6) AS p999 FROM q""",
+)
+def stream_latency(spark, sf_dir):
+    report = written(
+        spark,
+        timed_events(spark, sf_dir),
+        "us",
+        lambda rows: ticks.histogram_ticks(rows, "took_in_millis", 3600, watermark="10 minutes"),
+    )
+    return rounded(report)
+
+
+@query(
+    "stream_errors",
+    f"""WITH {CLOSED}, per_tick AS (
+      SELECT tick AS ts, count(*) FILTER (event_type = 'error') AS n FROM closed GROUP BY tick)
+    SELECT ts, CAST(sum(n) OVER (ORDER BY ts) AS BIGINT) AS "value" FROM per_tick""",
+)
+def stream_errors(spark, sf_dir):
+    counts = written(
+        spark,
+        timed_events(spark, sf_dir),
+        "us",
+        lambda rows: ticks.counter_ticks(rows, F.col("event_type") == "error", 3600, watermark="10 minutes"),
+    )
+    return ticks.counter_so_far(counts, 3600)
+
+
+@query(
+    "stream_delays",
+    """SELECT event_id, event_type, epoch_us(ts) AS us,
+              coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0) AS delay,
+              FALSE AS late
+    FROM events""",
+)
+def stream_delays(spark, sf_dir):
+    folder = new_folder(spark, "delays")
+    given.replay(
+        timed_events(spark, sf_dir).select("event_id", "event_type", "us"),
+        "us",
+        lambda rows: delays.stream_delays(
+            rows, "event_type", "us", ["event_id"], folder + "/out", folder + "/state", folder + "/checkpoint"
+        ),
+    )
+    return batches.read_all(spark, folder + "/out")
+
+
+@query(
+    "stream_slowlog",
+    f"""WITH {LOG} SELECT ts_nanos, body, host || '/' || event_type || '/' || types || '/_search?search_type=' || search_type AS url
+    FROM log""",
+)
+def stream_slowlog(spark, sf_dir):
+    return written(
+        spark,
+        given.slowlog_lines(spark, sf_dir),
+        "ord",
+        lambda lines: slowlog_stream.parsed_requests(lines).select("ts_nanos", "body", "url"),
+    )
+
+
+@query(
+    "stream_pseudonyms",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(url, host, h.anon), url) AS source_url,
+           coalesce(replace(lang, lang, l.anon), lang) AS source_lang, size AS source_size {SWAPPED}""",
+)
+def stream_pseudonyms(spark, sf_dir):
+    folder = new_folder(spark, "pseudonyms")
+    given.replay(
+        given.page_documents(spark, sf_dir).drop("links"),
+        "_id",
+        lambda pages: stream_pseudonymise(
+            pages, page_patterns(), ["_id"], folder + "/out", folder + "/map", folder + "/checkpoint"
+        ),
+    )
+    return page_columns(batches.read_all(spark, folder + "/out"))
