@@ -38,6 +38,13 @@ REQUEST_HEADER = ("ts", "code", "took_in_millis", "latency_micros", "id")
 QUANTILE_FORMAT = "%.2f"
 DEFAULT_INTERVAL_SECONDS = 5
 
+# Names of the report files that are not node metric series.
+RESPONSE_TIME = "response.time"
+PAUSE_TIME = "pause.time"
+REQUESTS_SENT = "requests.sent"
+ERRORS = "errors"
+REQUEST = "request"
+
 # Node metric series: name, two column names, two paths below nodes.<id>.
 NODE_SERIES = {
     "mem.young": (("used", "max"), ("jvm.mem.pools.young.used_in_bytes", "jvm.mem.pools.young.max_in_bytes")),
