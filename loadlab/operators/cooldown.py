@@ -63,10 +63,15 @@ def _walk_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"place": np.array(visited, dtype="int64")})
 
 
+def _root(df: DataFrame) -> DataFrame:
+    """The first pause request always counts."""
+    return df.sparkSession.range(1).select(F.col("id").alias("place"))
+
+
 def _reached(exits: DataFrame) -> DataFrame:
     """Block entries on the way from pause request 0: at most one per block."""
     entries = exits.where("leaves_to >= 0").select(F.col("leaves_to").alias("place")).distinct()
-    root = exits.sparkSession.range(1).select(F.col("id").alias("place"))
+    root = _root(exits)
     jump = exits.join(entries.unionByName(root).distinct(), "place", "left_semi")
     jump = stage(jump.where("leaves_to >= 0"), "pause-jumps")
     reached = root
@@ -90,14 +95,17 @@ def accepted_pauses(schedule: DataFrame, pauses: DataFrame, block_rows: int | No
     asked = pauses.where("pause_nanos > 0").join(due, "id").select(
         "id", "previous_at", (F.col("at_nanos") + F.col("pause_nanos")).alias("end")
     )
-    asked = stage(in_order(asked, ["id"], position="place"), "pauses")
-    size = block_rows_for(asked.count(), block_rows)
+    asked = in_order(asked, ["id"], position="place")
+    count = asked.count()
+    size = block_rows_for(count, block_rows)
     pointers = with_block(stage(_pointers(asked, size), "pause-pointers"), "place", size)
-    exits = stage(
-        pointers.groupBy("_block").applyInPandas(_leave_block, "place BIGINT, leaves_to BIGINT"), "pause-exits"
-    )
+    if count > size:
+        exits = pointers.groupBy("_block").applyInPandas(_leave_block, "place BIGINT, leaves_to BIGINT")
+        reached = _reached(stage(exits, "pause-exits"))
+    else:
+        reached = _root(asked)
     # At most one entry per block, so at most MAX_BLOCKS rows.
-    entries = with_block(_reached(exits), "place", size).select("_block", F.col("place").alias("entry"))
+    entries = with_block(reached, "place", size).select("_block", F.col("place").alias("entry"))
     walked = (
         pointers.join(F.broadcast(entries), "_block").groupBy("_block").applyInPandas(_walk_block, "place BIGINT")
     )

@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadlab import schemas
 from loadlab.functions import bodies, documents
 from loadlab.operators.sequence import in_order
-from loadlab.session import stage
+from loadlab.session import fits_broadcast, stage
 
 HOT_KEYS = 1_000  # a key is hot if it has more than 1/HOT_KEYS of all occurrences
-BROADCAST_KEYS = 200_000
-BROADCAST_BYTES = 32 << 20
 
 
 def empty_map(spark) -> DataFrame:
@@ -89,9 +87,7 @@ def json_build_map(
 
 def small(pseudonyms: DataFrame) -> bool:
     """Whether a dictionary is proven to fit a broadcast."""
-    size = F.octet_length("field") + F.octet_length("key") + F.octet_length("anon")
-    rows, used = pseudonyms.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= BROADCAST_KEYS and used <= BROADCAST_BYTES
+    return fits_broadcast(pseudonyms, ["field", "key", "anon"])
 
 
 def look_up(found: DataFrame, pseudonyms: DataFrame) -> DataFrame:
@@ -123,7 +119,7 @@ def _swaps(found: DataFrame, pseudonyms: DataFrame, order: list[str]) -> DataFra
 
 
 def rewrite(
-    df: DataFrame, patterns: dict[str, str], pseudonyms: DataFrame, order: list[str]
+    df: DataFrame, patterns: dict[str, str], pseudonyms: DataFrame, order: list[str], found: DataFrame | None = None
 ) -> DataFrame:
     """Typed documents with every occurrence of a key in its value replaced.
 
@@ -135,7 +131,7 @@ def rewrite(
     paths = documents.scalar_paths(df.schema, fields)
     if paths is not None and small(pseudonyms):
         return _rewrite_in_place(df, patterns, pseudonyms, paths)
-    swaps = _swaps(occurrences(df, order, patterns), pseudonyms, order)
+    swaps = _swaps(occurrences(df, order, patterns) if found is None else found, pseudonyms, order)
 
     def swap(field, value: Column) -> Column:
         name = field if isinstance(field, Column) else F.lit(field)
@@ -167,10 +163,17 @@ def _rewrite_in_place(df: DataFrame, patterns: dict[str, str], pseudonyms: DataF
 
 
 def json_rewrite(
-    df: DataFrame, patterns: dict[str, str], pseudonyms: DataFrame, order: list[str], body: str = "body"
+    df: DataFrame,
+    patterns: dict[str, str],
+    pseudonyms: DataFrame,
+    order: list[str],
+    body: str = "body",
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """JSON text with keys replaced, re-encoded canonically where it changed."""
-    swaps = _swaps(json_occurrences(df, order, patterns, body), pseudonyms, order)
+    if found is None:
+        found = json_occurrences(df, order, patterns, body)
+    swaps = _swaps(found, pseudonyms, order)
     joined = df.join(swaps, order, "left").withColumn("_new", documents.json_swapped(F.col(body), F.col("_swaps")))
     new = F.when(F.col("_swaps").isNotNull(), bodies.canonical_json(F.col("_new"))).otherwise(F.col(body))
     return joined.withColumn(body, new).select(*df.columns)
@@ -180,13 +183,15 @@ def pseudonymise(
     df: DataFrame, patterns: dict[str, str], order: list[str], known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rewritten typed documents and the dictionary they were rewritten with."""
-    pseudonyms = stage(build_map(df, patterns, order, known), "pseudonyms")
-    return rewrite(df, patterns, pseudonyms, order), pseudonyms
+    found = stage(occurrences(df, order, patterns), "occurrences")
+    pseudonyms = stage(extend_map(found, order, known), "pseudonyms")
+    return rewrite(df, patterns, pseudonyms, order, found), pseudonyms
 
 
 def json_pseudonymise(
     df: DataFrame, patterns: dict[str, str], order: list[str], known: DataFrame | None = None, body: str = "body"
 ) -> tuple[DataFrame, DataFrame]:
     """Rewritten JSON rows and the dictionary they were rewritten with."""
-    pseudonyms = stage(json_build_map(df, patterns, order, known, body), "pseudonyms")
-    return json_rewrite(df, patterns, pseudonyms, order, body), pseudonyms
+    found = stage(json_occurrences(df, order, patterns, body), "occurrences")
+    pseudonyms = stage(extend_map(found, order, known), "pseudonyms")
+    return json_rewrite(df, patterns, pseudonyms, order, body, found), pseudonyms

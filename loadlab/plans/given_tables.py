@@ -81,7 +81,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One poll body per order day-group: ``poll_ts, body`` with one node per order
     priority class, built from ``orders``."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     body = """
         concat('{"cluster_name":"c","nodes":{"node-', substr(o_orderpriority, 1, 1), '":{"timestamp":', t * 1000,
           ',"os":{"mem":{"total_in_bytes":', c * 100, ',"used_in_bytes":', c, '},"swap":{"total_in_bytes":0,"used_in_bytes":0}}',
@@ -102,7 +102,7 @@ def node_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search hits out of ``pages``: an id, a URL, a nested source and a list of links."""
     html_lang = F.regexp_extract("html", 'lang="([^"]+)"', 1)
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("_id"),
         "url",
         F.struct(F.col("url").alias("url"), html_lang.alias("lang"), F.length("html").alias("size")).alias("_source"),
@@ -124,3 +124,7 @@ def replay(df: DataFrame, by: str, start, arrivals: int = 3) -> None:
     for number in range(arrivals):
         df.where(part == number).write.mode("append").parquet(folder)
         start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

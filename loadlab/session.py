@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,3 +50,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(df: DataFrame, texts: list[str]) -> bool:
+    """Whether a table, mostly made up of the string columns ``texts``, is proven
+    small enough to be sent to every executor.  Counting it is one narrow pass."""
+    used = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(used), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES

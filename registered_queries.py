@@ -233,7 +233,7 @@ def dictionary(spark, sf_dir):
     SELECT pos, term AS "Term", coalesce(n, 0) AS "Count" FROM dictionary LEFT JOIN df ON token = term""",
 )
 def term_hits(spark, sf_dir):
-    return hits.count_hits(given.table(spark, sf_dir, "documents"), given.dictionary(spark, sf_dir), "term")
+    return hits.count_hits(given.documents(spark, sf_dir), given.dictionary(spark, sf_dir), "term")
 
 
 MATCH = DICTIONARY + "," + TOKENS + r""",
@@ -246,12 +246,12 @@ hits AS (SELECT pos, term AS "Term", coalesce(n, 0) AS "Count" FROM dictionary L
 
 @query("match_hits", f'WITH {MATCH} SELECT pos, "Term", "Count" FROM hits')
 def match_hits(spark, sf_dir):
-    return hits.count_hits(given.table(spark, sf_dir, "documents"), given.dictionary(spark, sf_dir), "match")
+    return hits.count_hits(given.documents(spark, sf_dir), given.dictionary(spark, sf_dir), "match")
 
 
 @query("heaviest_terms", f'WITH {MATCH} SELECT "Term", "Count" FROM hits ORDER BY "Count" DESC, pos LIMIT 20')
 def heaviest_terms(spark, sf_dir):
-    counted = hits.count_hits(given.table(spark, sf_dir, "documents"), given.dictionary(spark, sf_dir), "match")
+    counted = hits.count_hits(given.documents(spark, sf_dir), given.dictionary(spark, sf_dir), "match")
     return hits.heaviest(counted, 20)
 
 

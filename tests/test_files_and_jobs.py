@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.operators import pseudonyms
+from loadlab import session
 from loadlab.plans import indexes, loadspecs, reports
 from loadlab.sources import readers, writers
 from test_hits_and_reports import POLL, attempts
@@ -122,7 +122,7 @@ def test_pseudonym_files(spark, tmp_path, monkeypatch):
     assert readers.read_pseudonyms(spark, "").count() == 0
     with pytest.raises(Exception):
         readers.read_pseudonyms(spark, str(tmp_path / "missing")).count()
-    monkeypatch.setattr(pseudonyms, "BROADCAST_KEYS", 1)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
     with pytest.raises(ValueError):
         writers.write_pseudonyms(table, str(tmp_path / "object2"), "json")
 

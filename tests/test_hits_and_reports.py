@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loadlab import session
 from loadlab.functions import outcomes
 from loadlab.operators import attribution, hits, nodes, reports
 
@@ -15,8 +16,10 @@ def tokens(text):
     return set(re.findall(r"[^\W_]+", text.lower()))
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
 @pytest.mark.parametrize("mode", ["term", "match", "match_all"])
-def test_hits_against_brute_force(spark, mode):
+def test_hits_against_brute_force(spark, mode, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", broadcast_rows)
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
     terms = spark.createDataFrame(list(enumerate(TERMS)), "pos long, term string")
     hit = {

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadlab.functions import documents
+from loadlab import session
 from loadlab.operators import pseudonyms
 from loadlab.session import stage
 
@@ -64,7 +65,7 @@ def test_rewrite_with_lists(spark):
 
 def test_large_dictionary_and_hot_keys(spark, monkeypatch):
     """Nothing is small: hot keys are broadcast, the others shuffled, results are the same."""
-    monkeypatch.setattr(pseudonyms, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     for hot in (1_000, 5, 1):
         monkeypatch.setattr(pseudonyms, "HOT_KEYS", hot)
         check_rewritten(pseudonyms.pseudonymise(docs(spark), PATTERNS, ["_id"])[0])
@@ -74,7 +75,7 @@ def test_rewrite_in_place(spark, monkeypatch):
     flat = docs(spark).select("_id", "user", F.struct("_source.user", "_source.deep").alias("_source"))
     in_place = pseudonyms.pseudonymise(flat, PATTERNS, ["_id"])[0]
     assert "SortMergeJoin" not in in_place._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(pseudonyms, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     joined = pseudonyms.pseudonymise(flat, PATTERNS, ["_id"])[0]
     assert sorted(map(str, in_place.collect())) == sorted(map(str, joined.collect()))
     assert in_place.schema.simpleString() == joined.schema.simpleString() == flat.schema.simpleString()
