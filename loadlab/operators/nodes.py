@@ -15,7 +15,8 @@ def parse_polls(polls: DataFrame, body: str = "body", poll_ts: str | None = None
     """
     parsed = polls.withColumn("_nodes", F.from_json(body, schemas.POLL_BODY)["nodes"])
     kept = [poll_ts] if poll_ts else []
-    nodes = parsed.select(*kept, F.explode("_nodes").alias("node_id", "stats"))
+    # An outer explode is not preceded by a size check that would parse the body again.
+    nodes = parsed.select(*kept, F.explode_outer("_nodes").alias("node_id", "stats")).where("node_id is not null")
     seconds = F.col(poll_ts) if poll_ts else F.expr("stats.timestamp div 1000")
     return nodes.select(seconds.cast("bigint").alias("poll_ts"), "node_id", "stats")
 

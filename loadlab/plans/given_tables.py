@@ -35,7 +35,7 @@ def slowlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("ord"),
         F.expr("""
         concat('[',
-          date_format(ts, if(event_type = 'error' and value >= 200, 'yyyy-MM-dd', 'yyyy-MM-dd HH:mm:ss,SSS')),
+          if(event_type = 'error' and value >= 200, date_format(ts, 'yyyy-MM-dd'), date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')),
           '][WARN ][index.search.slowlog.', if(event_type = 'signup', 'fetch', 'query'),
           '] [host', user_id % 3, '] [', event_type, '][', user_id % 5,
           '] took[', value, 'ms], took_millis[', cast(floor(value) as bigint),
@@ -79,8 +79,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One poll body per order day-group: ``poll_ts, body`` with one node per order
-    priority class, built from ``orders``."""
+    """One poll body per order, ``poll_id, body``: the order's priority class is the node."""
     orders = spread(table(spark, sf_dir, "orders"))
     body = """
         concat('{"cluster_name":"c","nodes":{"node-', substr(o_orderpriority, 1, 1), '":{"timestamp":', t * 1000,
@@ -128,3 +127,18 @@ def replay(df: DataFrame, by: str, start, arrivals: int = 3) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, code, body, retry_after, latency_nanos``: a raw response per event."""
+    events = spread(table(spark, sf_dir, "events"))
+    body = """
+        if(event_type = 'error',
+           concat('{"error":{"type":"type-', user_id % 4, '","reason":"reason ', user_id, '"},"status":500}'),
+           concat('{"took":', cast(floor(value) as bigint), ',"timed_out":false,"hits":{"total":', user_id, ',"hits":[]}}'))"""
+    return events.selectExpr(
+        "event_id as id",
+        f"{body} as body",
+        "if(event_type = 'error', concat(user_id % 7, '.25'), null) as retry_after",
+        "cast(floor(value * 1000000) as bigint) as latency_nanos",
+    )

@@ -19,6 +19,7 @@ def from_slowlog(
     pseudonymise=None,
     order: list[str] = ("ord",),
     keep: list[str] = (),
+    fail_on_reject: bool = False,
 ) -> DataFrame:
     """Slow-log lines to a replayable loadspec that keeps the arrival times.
 
@@ -26,13 +27,19 @@ def from_slowlog(
     input order (ties in time keep it).  ``server`` replaces the logged host,
     ``indexes`` the logged index in turn; ``pseudonymise`` maps the request rows
     (JSON in ``body``) before they are sequenced.  ``keep`` carries further
-    columns of ``lines`` along.
+    columns of ``lines`` along.  Invalid lines are left out (see
+    :func:`loadlab.operators.requests.rejects`) or, with ``fail_on_reject``,
+    stop the job.
     """
     prepare(lines.sparkSession)
     order, keep = list(order), [c for c in keep if c not in order]
     max_nanos = int(max_duration_seconds * fixed.NANOS)
 
-    parsed = requests.replayable(lines)
+    if fail_on_reject:
+        checked = requests.fail_on_reject(requests.parse_lines(lines))
+        parsed = checked.where(checked["reason"].isNull())
+    else:
+        parsed = requests.replayable(lines)
     needed = parsed.select(*order, *keep, "ts_nanos", "host", "index", "types", "search_type", "body")
     # Lines are matched once; sampling, cutting and sorting then read columns.
     rows = stage(needed, "requests")

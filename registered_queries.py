@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.functions import documents
+from loadlab.functions import documents, outcomes
 from loadlab.operators import arrivals, attribution, cooldown, hits, nodes, pseudonyms, reports, requests, sequence
 from loadlab.plans import given_tables as given, loadspecs
+from loadlab.sources import readers, writers
 from loadlab.session import new_folder, prepare, stage
 from loadlab.streaming import batches, delays, slowlog as slowlog_stream, ticks
 from loadlab.streaming.pseudonyms import stream_pseudonymise
@@ -588,6 +589,123 @@ def node_gauges(spark, sf_dir):
     )
 
 
+# --- files ------------------------------------------------------------------
+
+
+def in_part_order(df: DataFrame, by: str, text: str, folder: str) -> None:
+    df.repartitionByRange(by).sortWithinPartitions(by).select(text).write.text(folder)
+
+
+@query("slowlog_files", f"WITH {SPEC} SELECT id, delay_since_last_nanos, url, source FROM spec")
+def slowlog_files(spark, sf_dir):
+    """Lines written as text files, then read, parsed and written as a loadspec, then read."""
+    folder = new_folder(spark, "files")
+    in_part_order(given.slowlog_lines(spark, sf_dir), "ord", "value", folder + "/log")
+    spec = loadspecs.from_slowlog(readers.read_slowlog(spark, folder + "/log"), order=readers.LINE_ORDER)
+    writers.write_loadspec(spec, folder + "/loadspec")
+    return readers.read_loadspec(spark, folder + "/loadspec")
+
+
+@query("dictionary_file", f"WITH {DICTIONARY} SELECT pos, replace(term, chr(10), ' ') AS term FROM dictionary")
+def dictionary_file(spark, sf_dir):
+    """The dictionary, without line breaks inside terms, as a text file and back."""
+    folder = new_folder(spark, "files")
+    terms = given.dictionary(spark, sf_dir).withColumn("term", F.replace("term", F.lit("\n"), F.lit(" ")))
+    in_part_order(terms, "pos", "term", folder + "/dictionary")
+    return readers.read_dictionary(spark, folder + "/dictionary")
+
+
+@query(
+    "request_file",
+    f"""WITH {ATTEMPTS} SELECT ts, code, CASE WHEN code = 200 THEN took ELSE 0 END AS took_in_millis,
+      CASE WHEN code = 200 THEN latency ELSE 0 END AS latency_micros, id FROM judged WHERE code IS NOT NULL""",
+)
+def request_file(spark, sf_dir):
+    folder = new_folder(spark, "files")
+    writers.write_requests(attribution.request_rows(given.attempts(spark, sf_dir)), folder)
+    return readers.read_requests(spark, folder)
+
+
+@query("pseudonym_file", f'WITH {PAGES} SELECT field, "key", anon FROM ids')
+def pseudonym_file(spark, sf_dir):
+    folder = new_folder(spark, "files")
+    writers.write_pseudonyms(pseudonym_map(spark, sf_dir), folder, "json")
+    return readers.read_pseudonyms(spark, folder, "json")
+
+
+@query(
+    "document_slice",
+    "SELECT page_id AS _id, url FROM pages ORDER BY page_id LIMIT 120 OFFSET 30",
+)
+def document_slice(spark, sf_dir):
+    pages = given.page_documents(spark, sf_dir).select("_id", "url")
+    return readers.slice_documents(pages, ["_id"], offset=30, total=120)
+
+
+@query(
+    "pseudonymised_json",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(lang, lang, l.anon), lang) AS lang,
+           coalesce(replace(url || '#top', host, h.anon), url || '#top') AS link {SWAPPED}""",
+)
+def pseudonymised_json(spark, sf_dir):
+    """Pages as JSON text of unknown shape."""
+    pages = given.page_documents(spark, sf_dir)
+    text = pages.select("_id", F.to_json(F.struct(*pages.columns)).alias("body"))
+    rewritten, _ = pseudonyms.json_pseudonymise(text, page_patterns(), ["_id"])
+    member = lambda path: F.get_json_object("body", path)
+    return rewritten.select(
+        "_id", member("$.url").alias("url"), member("$._source.lang").alias("lang"), member("$.links[0].url").alias("link")
+    )
+
+
+@query(
+    "response_fields",
+    """SELECT event_id AS id,
+      CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) END AS took,
+      CASE WHEN event_type <> 'error' THEN user_id END AS total,
+      CASE WHEN event_type = 'error' THEN 'type-' || (user_id % 4) END AS error_type,
+      CASE WHEN event_type = 'error' THEN 'reason ' || user_id END AS error_reason,
+      CASE WHEN event_type = 'error' THEN (user_id % 7) * 1000 + 250 END AS pause_millis,
+      CAST(floor(value * 1000000) AS BIGINT) // 1000 AS latency_micros
+    FROM events""",
+)
+def response_fields(spark, sf_dir):
+    body = F.col("body")
+    return given.responses(spark, sf_dir).select(
+        "id",
+        outcomes.took_millis(body).alias("took"),
+        outcomes.hits_total(body).alias("total"),
+        outcomes.error_type(body).alias("error_type"),
+        outcomes.error_reason(body).alias("error_reason"),
+        outcomes.retry_after_millis(F.col("retry_after")).alias("pause_millis"),
+        outcomes.latency_micros(F.col("latency_nanos")).alias("latency_micros"),
+    )
+
+
+@query("hit_requests", f"WITH {DICTIONARY} SELECT count(*) AS requests FROM dictionary")
+def hit_requests(spark, sf_dir):
+    return hits.requests_made(given.dictionary(spark, sf_dir))
+
+
+@query("match_all_hits", f'WITH {DICTIONARY} SELECT pos, term AS "Term", (SELECT count(*) FROM documents) AS "Count" FROM dictionary')
+def match_all_hits(spark, sf_dir):
+    return hits.count_hits(given.documents(spark, sf_dir), given.dictionary(spark, sf_dir), "match_all")
+
+
+@query(
+    "single_gauge_report",
+    f"""WITH {ATTEMPTS}, newest AS (SELECT tick, last(latency ORDER BY ts, id) AS v FROM judged GROUP BY tick)
+    SELECT s.ts, coalesce(last_value(v IGNORE NULLS) OVER w, 0) AS "value"
+    FROM spine s LEFT JOIN newest ON tick = s.ts
+    WINDOW w AS (ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def single_gauge_report(spark, sf_dir):
+    polls = given.attempts(spark, sf_dir).select("ts", "id", F.col("latency_micros").alias("value"))
+    return reports.gauge_report(polls, ["value"], TICK, newest=F.struct("ts", "id"))
+
+
 # --- streams ----------------------------------------------------------------
 
 
