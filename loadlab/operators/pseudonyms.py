@@ -85,6 +85,11 @@ def json_build_map(
     return extend_map(json_occurrences(df, order, patterns, body), order, known)
 
 
+def keys_per_field(pseudonyms: DataFrame) -> DataFrame:
+    """Number of keys each field has so far."""
+    return pseudonyms.groupBy("field").agg(F.count("*").alias("keys"))
+
+
 def small(pseudonyms: DataFrame) -> bool:
     """Whether a dictionary is proven to fit a broadcast."""
     return fits_broadcast(pseudonyms, ["field", "key", "anon"])

@@ -13,56 +13,63 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadlab import fixed_values as fixed
 from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES, counts_as_error, outcome
 from loadlab.operators.sequence import MIN_BLOCK_ROWS, carry_forward, running_total
+from loadlab.session import stage
 
 APPROX_ACCURACY = 10_000
 
 
 def tick_end(seconds: Column, interval: int) -> Column:
-    return (F.floor(seconds / F.lit(interval)).cast("bigint") + 1) * F.lit(interval).cast("bigint")
+    step = F.lit(interval).cast("bigint")
+    return seconds - F.pmod(seconds, step) + step
 
 
-def tick_spine(df: DataFrame, interval: int, time: str = "ts", keys: list[str] = ()) -> DataFrame:
-    """Every tick from the first to the last row of ``df``, per ``keys``."""
-    ends = df.groupBy(*keys).agg(
-        F.min(tick_end(F.col(time), interval)).alias("_first"), F.max(tick_end(F.col(time), interval)).alias("_last")
-    )
-    step = F.lit(interval).cast("bigint")
-    return ends.where(F.col("_first").isNotNull()).select(
-        *keys, F.posexplode(F.sequence("_first", "_last", step)).alias("_tick", "ts")
+def gap_free(per_tick: DataFrame, interval: int, keys: list[str] = ()) -> DataFrame:
+    """Tick rows with ``_tick``, their number from the first tick on, per ``keys``;
+    ticks without a row get NULLs.
+
+    The tick rows are staged, so the raw rows behind them are read once and not
+    again for the first and last tick.
+    """
+    keys = list(keys)
+    ticks = stage(per_tick, "ticks")
+    ends = ticks.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    spine = ends.where(F.col("_first").isNotNull()).select(
+        *keys, F.posexplode(F.sequence("_first", "_last", F.lit(interval).cast("bigint"))).alias("_tick", "ts")
     )
+    return spine.join(ticks, [*keys, "ts"], "left")
 
 
 def histogram_report(
-    samples: DataFrame,
-    value: str,
+    rows: DataFrame,
+    value: Column,
     interval: int = fixed.DEFAULT_INTERVAL_SECONDS,
-    span: DataFrame | None = None,
     approx: bool = False,
     time: str = "ts",
 ) -> DataFrame:
-    """Count and quantiles of ``value`` per tick; an empty tick has count 0 and
-    NULL quantiles.
+    """Count and quantiles of ``value`` per tick; a tick without values has count
+    0 and NULL quantiles.  A row with NULL ``value`` is no sample, but its tick
+    is part of the report.
 
     Exact quantiles first count equal values, so what reaches one task per tick
     is its distinct values (milliseconds below the request timeout), not its
     rows.  ``approx`` keeps a bounded digest instead, for values without such a
-    bound.  ``span`` gives the rows whose times the report has to cover.
+    bound.
     """
-    values = samples.select(tick_end(F.col(time), interval).alias("ts"), F.col(value).alias("_value"))
-    values = values.where(F.col("_value").isNotNull())
+    values = rows.select(tick_end(F.col(time), interval).alias("ts"), value.alias("_value"))
     probabilities = F.array(*[F.lit(q) for q in fixed.QUANTILES])
     if approx:
         ticks = values.groupBy("ts").agg(
-            F.count("*").alias("count"), F.percentile_approx("_value", list(fixed.QUANTILES), APPROX_ACCURACY).alias("_q")
+            F.count("_value").alias("count"),
+            F.percentile_approx("_value", list(fixed.QUANTILES), APPROX_ACCURACY).alias("_q"),
         )
     else:
         equal = values.groupBy("ts", "_value").agg(F.count("*").alias("_n"))
         ticks = equal.groupBy("ts").agg(
-            F.sum("_n").alias("count"), F.percentile("_value", probabilities, F.col("_n")).alias("_q")
+            F.sum(F.when(F.col("_value").isNotNull(), F.col("_n"))).alias("count"),
+            F.percentile("_value", probabilities, F.col("_n")).alias("_q"),
         )
     quantiles = [F.col("_q")[i].cast("double").alias(name) for i, name in enumerate(fixed.QUANTILE_NAMES)]
-    spine = tick_spine(samples if span is None else span, interval, time)
-    return spine.join(ticks, "ts", "left").select("ts", F.coalesce("count", F.lit(0)).alias("count"), *quantiles)
+    return gap_free(ticks, interval).select("ts", F.coalesce("count", F.lit(0)).alias("count"), *quantiles)
 
 
 def tick_counts(
@@ -73,7 +80,7 @@ def tick_counts(
         *[F.count_if(condition).alias(name) for name, condition in counts.items()]
     )
     filled = [F.coalesce(name, F.lit(0)).alias(name) for name in counts]
-    return tick_spine(rows, interval, time).join(per_tick, "ts", "left").select("_tick", "ts", *filled)
+    return gap_free(per_tick, interval).select("_tick", "ts", *filled)
 
 
 def counter_report(
@@ -96,7 +103,7 @@ def errors_report(
 
 def response_time_report(attempts: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECONDS, approx: bool = False) -> DataFrame:
     """Server-side time of successful requests."""
-    return histogram_report(attempts.where(F.col("code") == 200), "took_in_millis", interval, attempts, approx)
+    return histogram_report(attempts, F.when(F.col("code") == 200, F.col("took_in_millis")), interval, approx)
 
 
 def pause_report(
@@ -106,8 +113,8 @@ def pause_report(
     approx: bool = False,
 ) -> DataFrame:
     """Pauses asked for by throttled responses (``pause_millis``)."""
-    throttled = attempts.where(outcome(F.col("code"), throttle_codes) == "throttled")
-    return histogram_report(throttled, "pause_millis", interval, attempts, approx)
+    throttled = outcome(F.col("code"), throttle_codes) == "throttled"
+    return histogram_report(attempts, F.when(throttled, F.col("pause_millis")), interval, approx)
 
 
 def throughput_report(
@@ -144,8 +151,7 @@ def gauge_report(
     per_tick = polls.groupBy(*keys, tick_end(F.col(time), interval).alias("ts")).agg(
         F.max_by(F.struct(*values), F.col(time) if newest is None else newest).alias("_last")
     )
-    spine = tick_spine(polls, interval, time, keys)
-    ticks = spine.join(per_tick, [*keys, "ts"], "left").select(
+    ticks = gap_free(per_tick, interval, keys).select(
         *keys, "ts", "_tick", *[F.col(f"_last.{v}").alias(v) for v in values]
     )
     filled = carry_forward(ticks, values, "_tick", MIN_BLOCK_ROWS, keys)

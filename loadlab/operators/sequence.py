@@ -24,8 +24,8 @@ _ROW_BITS = (1 << 33) - 1  # row part of monotonically_increasing_id()
 
 
 def _tag_previous(columns: list[str]):
-    """Add run, place in the run and the previous row's ``columns`` to Arrow
-    batches of one sorted partition.
+    """Add run, place in the run, whether the run ends, and the previous row's
+    ``columns`` to Arrow batches of one sorted partition.
 
     A window would need a second shuffle of whole rows to learn what the range
     sort already arranged.
@@ -36,7 +36,12 @@ def _tag_previous(columns: list[str]):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        run, place, last = TaskContext.get().partitionId(), 0, None
+        def ended(batch, is_end):
+            ends = np.zeros(batch.num_rows, dtype=bool)
+            ends[-1] = is_end
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends)], names=[*batch.schema.names, "_ends"])
+
+        run, place, last, held = TaskContext.get().partitionId(), 0, None, None
         for batch in batches:
             rows = batch.num_rows
             if not rows:
@@ -51,9 +56,13 @@ def _tag_previous(columns: list[str]):
                 added[f"_previous_{column}"] = pa.concat_arrays([before, values.slice(0, rows - 1)])
             last = {column: batch.column(column)[rows - 1].as_py() for column in columns}
             place += rows
-            yield pa.RecordBatch.from_arrays(
+            if held is not None:
+                yield ended(held, False)
+            held = pa.RecordBatch.from_arrays(
                 [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
             )
+        if held is not None:
+            yield ended(held, True)
 
     return tag
 
@@ -73,20 +82,27 @@ def in_order(df: DataFrame, order: list[str], previous: list[str] = (), position
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     if previous:
         types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        columns = {**types, "_run": "int", "_place": "bigint", **{f"_previous_{c}": types[c] for c in previous}}
+        columns = {
+            **types,
+            "_run": "int",
+            "_place": "bigint",
+            **{f"_previous_{c}": types[c] for c in previous},
+            "_ends": "boolean",
+        }
         schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
-        tagged = ranged.mapInArrow(_tag_previous(list(previous)), schema)
+        rows = stage(ranged.mapInArrow(_tag_previous(list(previous)), schema), "ordered")
+        # The last row of a run tells its length and what the next run follows.
+        runs = rows.where("_ends").select("_run", (F.col("_place") + 1).alias("_rows"), F.struct(*previous).alias("_last"))
     else:
         tagged = ranged.select(
             "*",
             F.spark_partition_id().alias("_run"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_place"),
         )
-    rows = stage(tagged, "ordered")
+        rows = stage(tagged, "ordered")
+        runs = rows.groupBy("_run").agg(F.count("*").alias("_rows")).withColumn("_last", F.lit(None))
 
     # One row per range partition: the partition count bounds the broadcast.
-    last = F.max_by(F.struct(*previous), "_place") if previous else F.lit(None)
-    runs = rows.groupBy("_run").agg(F.count("*").alias("_rows"), last.alias("_last"))
     by_run = W.orderBy("_run")
     runs = runs.select(
         "_run",

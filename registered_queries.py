@@ -380,6 +380,11 @@ def pseudonym_map(spark, sf_dir):
     return pseudonyms.build_map(given.page_documents(spark, sf_dir), page_patterns(), ["_id"])
 
 
+@query("keys_per_field", f"WITH {PAGES} SELECT field, count(*) AS keys FROM ids GROUP BY field")
+def keys_per_field(spark, sf_dir):
+    return pseudonyms.keys_per_field(pseudonym_map(spark, sf_dir))
+
+
 def page_columns(pages: DataFrame) -> DataFrame:
     return pages.select(
         "_id",

@@ -154,3 +154,41 @@ def test_loadspec_order_delays_and_ties(spark):
     turned = loadspecs.from_slowlog(df, server="http://s:1/x", indexes=["a", "b"]).orderBy("id").collect()
     assert [r.url.split("/")[3] for r in turned] == ["b", "a", "a", "b"]
     assert turned[0].url == "http://s:1/b//_search?search_type=query_then_fetch"
+
+
+def test_random_lines_match_as_the_whole_pattern_does(spark):
+    """Fields of generated lines, with brackets, markers and any text in them."""
+    import json
+    import random
+    import re
+
+    from loadlab import fixed_values as fixed
+
+    rng = random.Random(42)
+    pieces = ["types[", "stats", "search_type[", "source[", "], extra_source", "[", "]", "][", "a", " ", "é", '"', "\\", ",", "1"]
+    word = lambda n: "".join(rng.choice(pieces) for _ in range(rng.randint(0, n)))
+    lines = []
+    for i in range(400):
+        body = json.dumps({"q": word(4), "l": [[1, 2], [3]] * rng.randint(0, 2)}, ensure_ascii=False)
+        text = line(types=word(2) if rng.random() < 0.3 else "", source=body, index=rng.choice(["a", "b-1", "x]"]))
+        if rng.random() < 0.2:
+            cut = rng.randint(0, len(text))
+            text = text[:cut] + word(3) + text[cut + rng.randint(0, 9):]
+        lines.append(text)
+    whole = re.compile(fixed.SLOWLOG_LINE)
+    for text, row in zip(lines, parse(spark, *lines)):
+        match = whole.search(text)
+        got = tuple(row[f] for f in slowlog.FIELDS)
+        assert got == (match.groups() if match else (None,) * 7), text
+
+
+def test_canonical_json(spark):
+    from loadlab.functions.bodies import canonical_json
+
+    bodies = ['{"b":[{"z":1,"a":null}],"a":{}}', ' {"x": "<&>"} ', "[]", "1", "", None, '{"a":1}x', "{}"]
+    bodies += ['{"a":1}]', '{"a":1}}', '{"a":1},{"b":1}', '{"a":1},"k":2', '{"a":1}],[{"b":1}', '{"a":1}},{"b":1}', '{"a":[1]}', "null", "null]"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, b string")
+    got = [r.c for r in df.select("i", canonical_json(F.col("b")).alias("c")).orderBy("i").collect()]
+    assert got == ['{"a":{},"b":[{"a":null,"z":1}]}', '{"x":"<&>"}', None, None, None, None, None, "{}"] + [None] * 6 + [
+        '{"a":[1]}', "null", None
+    ]
