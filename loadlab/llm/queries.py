@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlab.llm import mixing, pii
+from loadlab.llm import containment, mixing, packing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS t(p)),
+si AS (SELECT DISTINCT item_id, array_to_string(w[p:p+4], ' ') AS s FROM i, unnest(range(1, len(w) - 3)) AS t(p)),
+n AS (SELECT item_id, count(*) AS n FROM si GROUP BY 1)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared, CAST(count(*) AS DOUBLE) / n AS containment
+FROM ds JOIN si USING (s) JOIN n USING (item_id) GROUP BY 1, 2, 3 HAVING 5 * count(*) >= 4 * n
+"""
+
+
+@query("op1_decontaminate", OP1)
+def op1_decontaminate(spark, sf_dir):
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_personal_data")
 def op4_personal_data(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -91,3 +107,21 @@ FROM placed GROUP BY r
 @query("op9_mix_sources", OP9)
 def op9_mix_sources(spark, sf_dir):
     return mixing.shares(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pack_tokens")
+def op6_pack_tokens(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train(documents.where(~held_out()), labels.where(~held_out()))
+    scored = toxicity.score(documents, model)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,17 @@ _SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
-_TABLES: dict[str, np.ndarray] = {}
 
 
+@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base ** i`` and its inverse modulo 2 ** 64 for ``i < n``."""
-    if len(_TABLES.get("up", ())) < n:
-        for name, step in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, step, dtype=np.uint64)
-            steps[0] = 1
-            _TABLES[name] = np.cumprod(steps, dtype=np.uint64)
-    return _TABLES["up"], _TABLES["down"]
+    tables = []
+    for step in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, step, dtype=np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    return tables[0], tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def split_words(texts: pa.Array, signs: bool = False, hashes: bool = True) -> Wo
         s = np.flatnonzero(part & before)
         e = np.flatnonzero(part & after) + 1
         if hashes:
-            up, down = _powers(max(len(piece), PIECE))
+            up, down = _powers(1 << max(len(piece), PIECE).bit_length())
             total = np.zeros(len(piece) + 1, dtype=np.uint64)
             np.cumsum(_BYTES[piece] * up[: len(piece)], out=total[1:])
             found.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
