@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlab.llm import containment, mixing, packing, pii, toxicity
+from loadlab.llm import containment, mixing, neardup, packing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op1_decontaminate(spark, sf_dir):
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=2)
+
+
 @query("op4_personal_data")
 def op4_personal_data(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))

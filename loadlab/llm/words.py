@@ -72,8 +72,9 @@ def lowered(texts: pa.Array, ascii_only: bool = False) -> pa.Array:
     """Lower case, NULL as the empty text.  ``ascii_only``: A-Z and nothing else."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    return pc.ascii_lower(texts) if ascii_only else pc.utf8_lower(texts)
+    # Lower before anything else: a cast slice keeps its offsets, which ascii_lower then reads wrongly.
+    texts = pc.ascii_lower(texts) if ascii_only else pc.utf8_lower(texts)
+    return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
 def split_words(texts: pa.Array, signs: bool = False, hashes: bool = True) -> Words:
