@@ -88,6 +88,36 @@ def _partitions(texts: pa.Array, threshold: float, width: int) -> dict[int, list
     return found
 
 
+def _blocks(items: DataFrame, threshold: float, width: int, item_key: str, item_text: str, block_bytes: int):
+    """The items, block by block, each sent to the executors."""
+    wanted = items.select(items[item_key].alias("item"), items[item_text].alias("text")).where("text is not null and text <> ''")
+    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        own = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).toArrow()
+        parts = _partitions(own["text"].combine_chunks(), threshold, width)
+        index = (own["item"].combine_chunks(), {w: [vars(p) for p in group] for w, group in parts.items()})
+        yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def _opened(index: tuple) -> tuple[pa.Array, dict[int, list[_Partition]]]:
+    names, states = index
+    return names, {w: [_Partition.of(s) for s in group] for w, group in states.items()}
+
+
+def _hits(texts: pa.Array, partitions: dict[int, list[_Partition]]) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item, its shingles and how many are shared, for what is contained."""
+    words = split_words(lowered(texts), signs=True)
+    for width, groups in partitions.items():
+        hash, row = shingles(words.hash, words.first, width, whole_if_short=False)
+        for group in groups:
+            for r, at in group.search(hash, row).T:
+                own = hash[np.searchsorted(row, r) : np.searchsorted(row, r + 1)]
+                both = int(np.isin(group.sets[at], own).sum())
+                if both >= group.needed[at]:
+                    yield int(r), group.items[at], len(group.sets[at]), both
+
+
 def contained(
     documents: DataFrame,
     items: DataFrame,
@@ -107,38 +137,21 @@ def contained(
     blocks of about ``block_bytes``, one pass over the documents for each, so
     what is sent to the executors is bounded.
     """
-    spark = documents.sparkSession
-    wanted = items.select(items[item_key].alias("item"), items[item_text].alias("text")).where("text is not null and text <> ''")
-    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     source = documents.select(documents[key].alias("k"), documents[text].alias("text"))
-    kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((source, "k"), (wanted, "item")))
+    kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((documents, key), (items, item_key)))
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, item_shingles bigint, shared bigint, containment double"
 
     def search(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, states = index.value
-            partitions = {w: [_Partition.of(s) for s in group] for w, group in states.items()}
+            names, partitions = _opened(index.value)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    words = split_words(lowered(part.column("text")), signs=True)
-                    rows, found, sizes, shared = [], [], [], []
-                    for w, groups in partitions.items():
-                        hash, row = shingles(words.hash, words.first, w, whole_if_short=False)
-                        for group in groups:
-                            for r, at in group.search(hash, row).T:
-                                own = hash[np.searchsorted(row, r) : np.searchsorted(row, r + 1)]
-                                both = int(np.isin(group.sets[at], own).sum())
-                                if both >= group.needed[at]:
-                                    rows.append(r)
-                                    found.append(group.items[at])
-                                    sizes.append(len(group.sets[at]))
-                                    shared.append(both)
+                    found = list(_hits(part.column("text"), partitions))
+                    rows, at, sizes, shared = ([f[i] for f in found] for i in range(4))
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("k").take(pa.array(rows, pa.int64())),
-                            names.take(pa.array(found, pa.int64())),
+                            names.take(pa.array(at, pa.int64())),
                             pa.array(sizes, pa.int64()),
                             pa.array(shared, pa.int64()),
                             pa.array([a / b for a, b in zip(shared, sizes)], pa.float64()),
@@ -149,10 +162,33 @@ def contained(
         return run
 
     result = None
-    for b in range(blocks):
-        own = wanted.where(block == b).toArrow()
-        parts = _partitions(own["text"].combine_chunks(), threshold, width)
-        index = (own["item"].combine_chunks(), {w: [vars(p) for p in group] for w, group in parts.items()})
-        found = source.mapInArrow(search(spark.sparkContext.broadcast(index)), schema)
+    for index in _blocks(items, threshold, width, item_key, item_text, block_bytes):
+        found = source.mapInArrow(search(index), schema)
         result = found if result is None else result.unionByName(found)
     return result
+
+
+def without(
+    documents: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    width: int = WIDTH,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents that contain none of the items, all columns as they are.  No shuffle."""
+    kept = documents
+    for index in _blocks(items, threshold, width, item_key, item_text, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            _, partitions = _opened(index.value)
+            for batch in batches:
+                for part in slices(batch, text):
+                    clean = np.ones(part.num_rows, dtype=bool)
+                    clean[[f[0] for f in _hits(part.column(text), partitions)]] = False
+                    yield part.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, documents.schema)
+    return kept

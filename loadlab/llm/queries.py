@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlab.llm import containment, mixing, neardup, packing, pii, toxicity
+from loadlab.llm import containment, embeddings, lm, mixing, neardup, packing, pii, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op1_decontaminate(spark, sf_dir):
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_score_by_models")
+def op2_score_by_models(spark, sf_dir):
+    """How much more each document reads like a conversation than like the corpus."""
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 @query("op3_near_duplicates")
 def op3_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=2)
@@ -62,6 +68,31 @@ def op4_personal_data(spark, sf_dir):
     return found.select("doc_id", *counts, base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+OP7 = """
+WITH v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) >= 0.93 * a.norm * b.norm),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links AS l ON r.b = l.a)
+  SELECT a, min(b) AS least FROM r GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+found AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id
+  FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN reach ON reach.a = vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+"""
+
+
+@query("op7_near_embeddings", OP7)
+def op7_near_embeddings(spark, sf_dir):
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 OP9 = r"""
 WITH sized AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -114,6 +145,11 @@ def op9_mix_sources(spark, sf_dir):
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+@query("op5_repeated_passages")
+def op5_repeated_passages(spark, sf_dir):
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op6_pack_tokens")
 def op6_pack_tokens(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
