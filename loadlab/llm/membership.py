@@ -19,9 +19,9 @@ def place_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BITS))
 
 
-def filter_bits(keys: DataFrame, key: str = "k") -> Broadcast:
-    """A bit per hash of a key: at most ``BITS / 64`` numbers reach the driver, whatever the number of keys."""
-    words = keys.select(place_of(key).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
+def filter_bits(keys: DataFrame, place: Column) -> Broadcast:
+    """A bit per place below ``BITS``: at most ``BITS / 64`` numbers reach the driver, whatever the number of keys."""
+    words = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")
     )
     table = words.toArrow()

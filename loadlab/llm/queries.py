@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlab.llm import containment, embeddings, lm, mixing, neardup, packing, pii, suffixes, toxicity
+from loadlab.llm import compact, containment, embeddings, lm, mixing, neardup, packing, pii, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op7_near_embeddings(spark, sf_dir):
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query("op8_near_passages")
+def op8_near_passages(spark, sf_dir):
+    return compact.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 OP9 = r"""
 WITH sized AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

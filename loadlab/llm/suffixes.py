@@ -210,7 +210,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, key: str = "doc_
     left = sparse.join(again, "gram").groupBy("k").agg(F.collect_set("pos").alias("positions"))
     left = stage(left, "repeated-suffixes")
 
-    bits = filter_bits(left)
+    bits = filter_bits(left, place_of("k"))
     near = source.select("k", place_of("k").alias("place"), "text").mapInArrow(in_filter(bits, ["k", "text"]), "k bigint, text string")
     contexts = left.join(near, "k").mapInArrow(_contexts(least), "right binary, left binary, k bigint, pos int")
     order = ["right", "left", "k", "pos"]
