@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadlab.llm.graph import components
+from loadlab.llm.graph import components, lowest
 from loadlab.llm.groups import per_group
 from loadlab.session import stage
 
@@ -87,16 +87,7 @@ def _compare(threshold: float):
         vertices, at = np.unique(ids, return_inverse=True)
         counted = np.bincount(at, weights=times).astype(np.int64)
         # Links that connect: everyone with the smallest of his component here.
-        low = np.arange(len(vertices))
-        x, y = at[: len(a)], at[len(a) :]
-        while True:
-            least = low.copy()
-            np.minimum.at(least, x, low[y])
-            np.minimum.at(least, y, low[x])
-            least = least[least]
-            if (least == low).all():
-                break
-            low = least
+        low = lowest(at[: len(a)], at[len(a) :], len(vertices))
         nothing = np.zeros(len(vertices), dtype=np.int64)
         return pa.table(
             {"a": np.concatenate([vertices, vertices]), "b": np.concatenate([vertices, vertices[low]]), "n": np.concatenate([counted, nothing])}

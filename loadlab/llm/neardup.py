@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from loadlab.llm import setsketch
 from loadlab.llm.graph import components
+from loadlab.llm.groups import per_group
+from loadlab.llm.membership import filter_bits, passing, place_of
 from loadlab.llm.words import distinct_per_row, lowered, shingles, slices, split_words
 from loadlab.session import stage
 
@@ -34,8 +36,6 @@ CHUNK = 128
 #: about four standard deviations of the estimate, six for families.
 SURELY_BELOW = 0.10
 FAMILY_BELOW = 0.15
-#: Bits of the table that keeps documents outside any family from being read twice into a join.
-FILTER_BITS = 1 << 25
 
 
 def sets_of(texts: pa.Array, width: int):
@@ -182,28 +182,14 @@ def _near_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     return stage(both.mapInArrow(_likely(threshold - FAMILY_BELOW), "a bigint, b bigint"), "near-pairs")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit per hash of an id; ``FILTER_BITS / 64`` numbers at most, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    words = ids.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("bit")).groupBy("w").agg(
-        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
-    )
-    table = words.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[table["w"].to_numpy()] = table["bits"].to_numpy()
-    return bits
-
-
 def _family_sets(documents: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``members`` with the sketch and the full set of each, from the texts."""
-    filter_ = documents.sparkSession.sparkContext.broadcast(_filter_of(members))
+    filter_ = filter_bits(members, place_of("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            near = (bits[place >> 6] >> (place & 63)) & 1 == 1
-            kept = batch.filter(pa.array(near))
+            kept = batch.filter(pa.array(passing(bits, batch.column("place").to_numpy())))
             for part in slices(kept, "text", 1 << 19):
                 hash, first = sets_of(part.column("text"), width)
                 sketch = setsketch.registers(hash, first)
@@ -216,8 +202,7 @@ def _family_sets(documents: DataFrame, members: DataFrame, width: int) -> DataFr
                     names=["k", "sketch", "set"],
                 )
 
-    place = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    source = documents.where("k is not null").select("k", place.alias("place"), "text")
+    source = documents.where("k is not null").select("k", place_of("k").alias("place"), "text")
     sets = source.mapInArrow(run, "k bigint, sketch binary, set binary")
     # A repeated key has one row here; which of its texts does not matter, see near_duplicates().
     return stage(members.join(sets, "k").dropDuplicates(["k"]), "family-sets")
@@ -238,7 +223,7 @@ def _links(documents: DataFrame, pairs: DataFrame, threshold: float, width: int,
         own = _Members(table)
         return _links_table(_confirmed(own, None, np.arange(len(own.ids)), threshold))
 
-    found = stage(members.groupBy("family", "chunk").applyInArrow(inside, "a bigint, b bigint"), "links")
+    found = stage(per_group(members, ["family", "chunk"], inside, "a bigint, b bigint"), "links")
     links, asking = found, members.where("chunks > 1").select("k", "family", "chunks")
     if asking.isEmpty():
         return links
@@ -249,7 +234,7 @@ def _links(documents: DataFrame, pairs: DataFrame, threshold: float, width: int,
         if hubs.isEmpty():
             break
         meeting = hubs.join(large.select("k", "sketch", "set"), "k")
-        found = stage(meeting.groupBy("family", "chunk").applyInArrow(inside, "a bigint, b bigint"), "links")
+        found = stage(per_group(meeting, ["family", "chunk"], inside, "a bigint, b bigint"), "links")
         links = links.unionByName(found)
         asking = hubs.where("chunks > 1")
 
@@ -278,7 +263,8 @@ def _links(documents: DataFrame, pairs: DataFrame, threshold: float, width: int,
         numbers = np.unique(np.concatenate([own["component_id"].to_numpy(), others["component_id"].to_numpy()]), return_inverse=True)[1]
         return _links_table(_confirmed(_Members(own), _Members(others), numbers, threshold))
 
-    return stage(links.unionByName(both.groupBy("family", "chunk", "part").applyInArrow(against, "a bigint, b bigint")), "links")
+    compared = per_group(both, ["family", "chunk", "part"], against, "a bigint, b bigint")
+    return links.unionByName(stage(compared, "links"))
 
 
 def near_duplicates(
