@@ -33,7 +33,6 @@ NANOS = 1_000_000_000
 QUANTILES = (0.5, 0.9, 0.99, 0.999)
 QUANTILE_NAMES = ("p50", "p90", "p99", "p999")
 HISTOGRAM_HEADER = ("ts", "count", "p50", "p90", "p99", "p999")
-COUNTER_HEADER = ("ts", "value")
 REQUEST_HEADER = ("ts", "code", "took_in_millis", "latency_micros", "id")
 QUANTILE_FORMAT = "%.2f"
 DEFAULT_INTERVAL_SECONDS = 5

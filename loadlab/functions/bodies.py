@@ -31,14 +31,3 @@ def fill_template(template: str, term: Column) -> Column:
     """The template with its first placeholder replaced by the term as it is."""
     before, mark, after = template.partition(fixed.TERM_PLACEHOLDER)
     return F.concat(F.lit(before), term, F.lit(after)) if mark else F.lit(template)
-
-
-def fill_template_column(template: Column, term: Column) -> Column:
-    """As :func:`fill_template` with one template per row."""
-    at = F.instr(template, fixed.TERM_PLACEHOLDER)
-    filled = F.concat(
-        F.substring(template, F.lit(1), at - 1),
-        term,
-        F.substring(template, at + len(fixed.TERM_PLACEHOLDER), F.length(template)),
-    )
-    return F.when(at > 0, filled).otherwise(template)

@@ -12,29 +12,67 @@ object that is reached through objects and through objects directly in arrays.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from loadlab import fixed_values as fixed
 
 MEMBER = "array<struct<field:string,value:string>>"
 
 
+WHOLE_VALUE = r"(?s)\A(.*)\z"
+
+
+def _unnamed_groups(pattern: str) -> str:
+    """``(?P<name>`` as a plain group, outside escapes and character classes: groups count by number here."""
+    out, at, in_class, quoted = [], 0, False, False
+    while at < len(pattern):
+        if quoted or pattern.startswith("\\Q", at):
+            end = pattern.find("\\E", at)
+            stop = len(pattern) if end < 0 else end + 2
+            out.append(pattern[at:stop])
+            at = stop
+            continue
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        if c in "[]":
+            in_class = c == "["
+        elif not in_class and pattern.startswith("(?P<", at) and ">" in pattern[at:]:
+            out.append("(")
+            at = pattern.index(">", at) + 1
+            continue
+        out.append(c)
+        at += 1
+    return "".join(out)
+
+
 def field_patterns(options: list[str]) -> dict[str, str]:
     """``field::pattern`` options; the pattern's first group is what gets replaced.
 
-    A bare field name means the whole value.  The last option for a field counts.
+    A bare field name means the whole value, line breaks included.  The last
+    option for a field counts.  Patterns are checked by the engine that runs
+    them, so a session has to be there.
     """
-    import re
-
+    engine = SparkSession.active()._jvm.java.util.regex.Pattern
     patterns = {}
     for option in options:
         field, *rest = option.split(fixed.FIELD_PATTERN_SEPARATOR)
-        pattern = rest[0] if rest else "(.*)"
-        if re.compile(pattern).groups < 1:
-            raise ValueError(f"pattern for {field!r} needs a group: {pattern!r}")
+        pattern = _unnamed_groups(rest[0]) if rest else WHOLE_VALUE
+        try:
+            groups = engine.compile(pattern).matcher("").groupCount()
+        except (IllegalArgumentException, Py4JJavaError) as error:
+            raise ValueError(f"invalid pattern for {field!r}: {rest[0]!r}") from error
+        if groups < 1:
+            raise ValueError(f"pattern for {field!r} needs a group: {rest[0]!r}")
         patterns[field] = pattern
     return patterns
 
@@ -138,6 +176,25 @@ def swap_members(schema: T.StructType, fields, swap: Swap) -> dict[str, Column]:
 # --- JSON text of unknown shape ----------------------------------------------
 
 
+class _Number:
+    """A number as it is written: doubles do not hold every JSON number."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _decoded(text: str):
+    return json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+
+
+def _encoded(node) -> str:
+    mark = uuid.uuid4().hex
+    text = json.dumps(
+        node, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=lambda number: f"{mark}{number.text}"
+    )
+    return re.sub(f'"{mark}([^"]*)"', r"\1", text)
+
+
 def _visit(node, fields, at_string) -> None:
     """Call ``at_string(object, name)`` for every wanted string below ``node``."""
     for name, value in node.items():
@@ -152,21 +209,28 @@ def _visit(node, fields, at_string) -> None:
 
 
 def json_members(body: Column, fields: list[str]) -> Column:
-    """``(field, value)`` of every wanted string in a JSON object."""
+    """``(field, value)`` of every wanted string in a JSON object.
+
+    Only bodies in which a wanted name can occur leave the JVM: those that
+    hold it in quotes, or an escape that might spell it.
+    """
     wanted = frozenset(fields)
 
     @F.pandas_udf(MEMBER)
     def listed(bodies: pd.Series) -> pd.Series:
         def members(text):
             found = []
-            node = json.loads(text) if text else None
+            node = _decoded(text) if text else None
             if isinstance(node, dict):
                 _visit(node, wanted, lambda at, name: found.append({"field": name, "value": at[name]}))
             return found
 
         return bodies.map(members)
 
-    return listed(body)
+    possible = F.contains(body, F.lit("\\u"))
+    for name in fields:
+        possible = possible | F.contains(body, F.lit(json.dumps(name, ensure_ascii=False)))
+    return listed(F.when(possible, body))
 
 
 def json_swapped(body: Column, swaps: Column) -> Column:
@@ -178,13 +242,13 @@ def json_swapped(body: Column, swaps: Column) -> Column:
             if pair is None or not len(pair):
                 return text
             new = {(p["field"], p["value"]): p["new"] for p in pair}
-            node = json.loads(text)
+            node = _decoded(text)
 
             def swap(at, name):
                 at[name] = new.get((name, at[name]), at[name])
 
             _visit(node, {field for field, _ in new}, swap)
-            return json.dumps(node, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            return _encoded(node)
 
         return pd.Series([one(text, pair) for text, pair in zip(bodies, pairs)], dtype=object)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import bodies, draws
-from loadlab.operators.sequence import MAX_BLOCKS, MIN_BLOCK_ROWS
+from loadlab.operators.sequence import before_block, unfold
 from loadlab.session import stage
 
 KINDS = ("const", "poisson")
@@ -40,30 +40,11 @@ def checked(processes: DataFrame, kind: str) -> DataFrame:
     return processes.withColumn("rate", F.when(wrong, F.raise_error(message).cast("double")).otherwise(F.col("rate")))
 
 
-def _positions(processes: DataFrame, count: Column, keys: list[str], block_rows: int | None) -> DataFrame:
-    """Rows ``id = 0 .. count - 1`` per process, made in parallel blocks.
-
-    Blocks are shuffled before they are unfolded, so what moves is one row per
-    block; the unfolded rows keep the (keys, _block) partitioning and later
-    block windows need no shuffle.
-    """
-    per_block = F.lit(block_rows).cast("bigint") if block_rows else F.greatest(
-        F.lit(MIN_BLOCK_ROWS).cast("bigint"), F.ceil(count / F.lit(MAX_BLOCKS)).cast("bigint")
-    )
-    sized = processes.withColumn("_count", count).withColumn("_per_block", per_block).where(F.col("_count") > 0)
-    blocks = sized.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_count - 1) div _per_block")))
-    ).repartition(*keys, "_block")
-    first = F.col("_block") * F.col("_per_block")
-    last = F.least(first + F.col("_per_block"), F.col("_count")) - 1
-    return blocks.withColumn("id", F.explode(F.sequence(first, last))).drop("_count", "_per_block")
-
-
 def constant_arrivals(processes: DataFrame, keys: list[str] = (), block_rows: int | None = None) -> DataFrame:
     """Evenly spaced requests while their time is within the duration."""
     spaced = checked(processes, "const").withColumn("_gap", (F.lit(1e9) / F.col("rate")).cast("bigint"))
     count = F.expr("duration_nanos div _gap") + 1
-    rows = _positions(spaced, count, list(keys), block_rows)
+    rows = unfold(spaced, count, "id", list(keys), block_rows)
     delay = F.when(F.col("id") == 0, F.lit(0).cast("bigint")).otherwise(F.col("_gap"))
     return rows.select(
         *keys, "id", delay.alias("delay_since_last_nanos"), (F.col("id") * F.col("_gap")).alias("at_nanos")
@@ -85,11 +66,11 @@ def poisson_arrivals(
     spare = 1
     while True:
         count = (F.ceil(mean + 6 * F.sqrt(mean)) + 10).cast("bigint") * spare
-        rows = _positions(processes, count, keys, block_rows)
+        rows = unfold(processes, count, "id", keys, block_rows)
         unit = draws.uniform(seed, *[F.col(k) for k in keys], F.col("id"))
         gap = (-F.ln(F.lit(1.0) - unit) / F.col("rate") * F.lit(1e9)).cast("bigint")
         rows = rows.withColumn("_gap", F.when(F.col("id") == 0, F.lit(0).cast("bigint")).otherwise(gap))
-        # One row per process and block, at most MAX_BLOCKS blocks per process.
+        # One row per process and block.
         totals = stage(
             rows.groupBy(*keys, "_block").agg(
                 F.sum("_gap").alias("_total"), F.first("duration_nanos").alias("_limit")
@@ -100,8 +81,7 @@ def poisson_arrivals(
         if spans.where(F.col("_span") <= F.col("_limit")).isEmpty():
             break
         spare *= 2
-    by_block = W.partitionBy(*keys).orderBy("_block")
-    before = totals.select(*keys, "_block", (F.sum("_total").over(by_block) - F.col("_total")).alias("_before"))
+    before = before_block(totals, "_total", "_before", keys)
     inside = W.partitionBy(*keys, "_block").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     timed = rows.withColumn("_inside", F.sum("_gap").over(inside)).join(before, [*keys, "_block"])
     at = F.col("_before") + F.col("_inside")
@@ -127,9 +107,11 @@ def sample_terms(requests: DataFrame, dictionary: DataFrame, seed: int, keys: li
     Draws spread evenly over positions, so neither side of the join is skewed;
     Spark broadcasts the dictionary if it is below its broadcast threshold.
     """
-    last = dictionary.agg(F.max("pos")).first()[0]
+    first, last, size = dictionary.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
     if last is None:
         raise ValueError("the query template uses a term but the dictionary is empty")
+    if first != 0 or size != last + 1:
+        raise ValueError("positions of the dictionary must be 0, 1, 2, ... without gaps")
     drawn = F.pmod(draws.draw_bits(seed, F.lit("term"), *[F.col(k) for k in keys], F.col("id")), F.lit(last + 1))
     return requests.withColumn("_pos", drawn).join(dictionary.select(F.col("pos").alias("_pos"), "term"), "_pos").drop("_pos")
 

@@ -5,7 +5,7 @@ was due within the pause.  A pause asked for by a dropped request does not
 count, so which pauses count is a chain: from an accepted pause to the first
 pause request it does not cover.  The chain is found without walking the log:
 every pause request gets a pointer to its successor, pointers are followed inside
-id blocks (even, at most MAX_BLOCKS), and between blocks by doubling, in as many
+id blocks of a fixed size, and between blocks by doubling, in as many
 joins as the block count has bits.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loadlab.operators.sequence import carry_forward, in_order, with_block, block_rows_for
+from loadlab.operators.sequence import BLOCK_ROWS, before_block, carry_forward, in_order, with_block
 from loadlab.session import stage
 
 
@@ -97,17 +97,17 @@ def accepted_pauses(schedule: DataFrame, pauses: DataFrame, block_rows: int | No
     )
     asked = in_order(asked, ["id"], position="place")
     count = asked.count()
-    size = block_rows_for(count, block_rows)
+    size = block_rows or BLOCK_ROWS
     pointers = with_block(stage(_pointers(asked, size), "pause-pointers"), "place", size)
     if count > size:
         exits = pointers.groupBy("_block").applyInPandas(_leave_block, "place BIGINT, leaves_to BIGINT")
         reached = _reached(stage(exits, "pause-exits"))
     else:
         reached = _root(asked)
-    # At most one entry per block, so at most MAX_BLOCKS rows.
+    # At most one entry per block.
     entries = with_block(reached, "place", size).select("_block", F.col("place").alias("entry"))
     walked = (
-        pointers.join(F.broadcast(entries), "_block").groupBy("_block").applyInPandas(_walk_block, "place BIGINT")
+        pointers.join(entries, "_block").groupBy("_block").applyInPandas(_walk_block, "place BIGINT")
     )
     return asked.join(walked, "place").select("id", "end")
 
@@ -121,14 +121,12 @@ def mark_dropped(schedule: DataFrame, pauses: DataFrame, block_rows: int | None
     accepted = accepted_pauses(schedule, pauses, block_rows)
     marked = schedule.join(accepted, "id", "left")
     blocked = stage(with_block(marked, "id", block_rows), "paused")
-    ends = blocked.groupBy("_block").agg(F.max("end").alias("_end"))  # at most MAX_BLOCKS rows
-    earlier = ends.select(
-        "_block", F.max("_end").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_carried")
-    )
+    ends = blocked.groupBy("_block").agg(F.max("end").alias("_end"))
+    earlier = before_block(ends, "_end", "_carried", fold=F.max)
     before = W.partitionBy("_block").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
     covered = F.greatest(F.max("end").over(before), F.col("_carried"))
     previous_at = F.col("at_nanos") - F.col("delay_since_last_nanos")
-    return blocked.join(F.broadcast(earlier), "_block").select(
+    return blocked.join(earlier, "_block").select(
         *schedule.columns, F.coalesce(previous_at < covered, F.lit(False)).alias("dropped")
     )
 

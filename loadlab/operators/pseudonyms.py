@@ -11,13 +11,18 @@ there are documents, and one key may be in a third of them, so
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab import schemas
-from loadlab.functions import bodies, documents
+from loadlab.functions import documents
 from loadlab.operators.sequence import in_order
 from loadlab.session import fits_broadcast, stage
 
+MEMBER_KEYS = "array<struct<field:string,value:string,key:string>>"
 HOT_KEYS = 1_000  # a key is hot if it has more than 1/HOT_KEYS of all occurrences
 
 
@@ -78,13 +83,6 @@ def build_map(
     return extend_map(occurrences(df, order, patterns), order, known)
 
 
-def json_build_map(
-    df: DataFrame, patterns: dict[str, str], order: list[str], known: DataFrame | None = None, body: str = "body"
-) -> DataFrame:
-    """Dictionary for JSON text."""
-    return extend_map(json_occurrences(df, order, patterns, body), order, known)
-
-
 def keys_per_field(pseudonyms: DataFrame) -> DataFrame:
     """Number of keys each field has so far."""
     return pseudonyms.groupBy("field").agg(F.count("*").alias("keys"))
@@ -116,6 +114,43 @@ def look_up(found: DataFrame, pseudonyms: DataFrame) -> DataFrame:
     return by_broadcast.unionByName(by_shuffle)
 
 
+def _by_order(df: DataFrame, swaps: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_swaps`` of the document with the same ``order``; NULLs are equal."""
+    renamed = swaps.select(*[F.col(c).alias(f"_of_{c}") for c in order], "_swaps")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in order])
+    return df.join(renamed, same, "left").select(*df.columns, "_swaps")
+
+
+def _local_swaps(members: Column, patterns: dict[str, str], pseudonyms: DataFrame) -> Column:
+    """New values of the strings of one row, with a dictionary proven small.
+
+    The dictionary goes to the executors once, patterns stay in the JVM, and an
+    Arrow function looks keys up; no row moves.
+    """
+    rows = pseudonyms.select("field", "key", "anon").toArrow()
+    known = dict(zip(zip(rows["field"].to_pylist(), rows["key"].to_pylist()), rows["anon"].to_pylist()))
+    table = pseudonyms.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<string>")
+    def anons(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda row: [table.value.get((k["field"], k["key"])) for k in row])
+
+    keyed = F.transform(
+        members,
+        lambda m: F.struct(
+            m["field"].alias("field"), m["value"].alias("value"), documents.matched_key(m["field"], m["value"], patterns).alias("key")
+        ),
+    )
+    keyed = F.filter(F.coalesce(keyed, F.array().cast(MEMBER_KEYS)), lambda m: m["key"].isNotNull())
+    found = F.transform(
+        F.arrays_zip(keyed.alias("m"), anons(keyed).alias("a")),
+        lambda z: F.struct(
+            z["m"]["field"].alias("field"), z["m"]["value"].alias("value"), F.replace(z["m"]["value"], z["m"]["key"], z["a"]).alias("new")
+        ),
+    )
+    return F.filter(found, lambda s: s["new"].isNotNull())
+
+
 def _swaps(found: DataFrame, pseudonyms: DataFrame, order: list[str]) -> DataFrame:
     """Per document the new value of each string; a document has as many as it has members."""
     changed = look_up(found, pseudonyms)
@@ -128,22 +163,27 @@ def rewrite(
 ) -> DataFrame:
     """Typed documents with every occurrence of a key in its value replaced.
 
-    A small dictionary is broadcast once per path and documents are not shuffled
-    at all.  Otherwise, and if a field lies in an array, narrow occurrence rows
-    meet the dictionary and documents are joined once by their own key.
+    A small dictionary is sent along and documents are not shuffled at all.
+    Otherwise narrow occurrence rows meet the dictionary and documents are
+    joined once by their own key, NULL keys like any other.
     """
     fields = list(patterns)
     paths = documents.scalar_paths(df.schema, fields)
-    if paths is not None and small(pseudonyms):
+    is_small = small(pseudonyms)
+    if paths is not None and is_small:
         return _rewrite_in_place(df, patterns, pseudonyms, paths)
-    swaps = _swaps(occurrences(df, order, patterns) if found is None else found, pseudonyms, order)
 
     def swap(field, value: Column) -> Column:
         name = field if isinstance(field, Column) else F.lit(field)
         hit = F.filter("_swaps", lambda s: (s["field"] == name) & (s["value"] == value))
         return F.coalesce(F.get(hit, F.lit(0))["new"], value)
 
-    joined = df.join(swaps, order, "left")
+    if is_small:
+        listed = documents.list_members(df.schema, fields)
+        joined = df.withColumn("_swaps", _local_swaps(listed, patterns, pseudonyms))
+    else:
+        swaps = _swaps(occurrences(df, order, patterns) if found is None else found, pseudonyms, order)
+        joined = _by_order(df, swaps, order)
     return joined.withColumns(documents.swap_members(df.schema, fields, swap)).select(*df.columns)
 
 
@@ -175,13 +215,21 @@ def json_rewrite(
     body: str = "body",
     found: DataFrame | None = None,
 ) -> DataFrame:
-    """JSON text with keys replaced, re-encoded canonically where it changed."""
-    if found is None:
-        found = json_occurrences(df, order, patterns, body)
-    swaps = _swaps(found, pseudonyms, order)
-    joined = df.join(swaps, order, "left").withColumn("_new", documents.json_swapped(F.col(body), F.col("_swaps")))
-    new = F.when(F.col("_swaps").isNotNull(), bodies.canonical_json(F.col("_new"))).otherwise(F.col(body))
-    return joined.withColumn(body, new).select(*df.columns)
+    """JSON text with keys replaced, re-encoded with sorted keys where it changed.
+
+    Bodies that do not change stay as they are; numbers are written as they
+    were, also those that no number type holds.
+    """
+    if small(pseudonyms):
+        listed = documents.json_members(F.col(body), list(patterns))
+        joined = df.withColumn("_swaps", _local_swaps(listed, patterns, pseudonyms))
+    else:
+        if found is None:
+            found = json_occurrences(df, order, patterns, body)
+        joined = _by_order(df, _swaps(found, pseudonyms, order), order)
+    joined = joined.withColumn("_new", documents.json_swapped(F.col(body), F.col("_swaps")))
+    new = F.when(F.size("_swaps") > 0, F.col("_new"))
+    return joined.withColumn(body, F.coalesce(new, F.col(body))).select(*df.columns)
 
 
 def pseudonymise(

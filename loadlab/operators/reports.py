@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES, counts_as_error, outcome
-from loadlab.operators.sequence import MIN_BLOCK_ROWS, carry_forward, running_total
+from loadlab.operators.sequence import BLOCK_ROWS, carry_forward, running_total, unfold
 from loadlab.session import stage
 
 APPROX_ACCURACY = 10_000
@@ -33,9 +33,9 @@ def gap_free(per_tick: DataFrame, interval: int, keys: list[str] = ()) -> DataFr
     keys = list(keys)
     ticks = stage(per_tick, "ticks")
     ends = ticks.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-    spine = ends.where(F.col("_first").isNotNull()).select(
-        *keys, F.posexplode(F.sequence("_first", "_last", F.lit(interval).cast("bigint"))).alias("_tick", "ts")
-    )
+    spanned = ends.where(F.col("_first").isNotNull())
+    spine = unfold(spanned, F.expr(f"(_last - _first) div {interval} + 1"), "_tick", keys)
+    spine = spine.select(*keys, "_tick", (F.col("_first") + F.col("_tick") * interval).alias("ts"))
     return spine.join(ticks, [*keys, "ts"], "left")
 
 
@@ -88,7 +88,7 @@ def counter_report(
 ) -> DataFrame:
     """Running number of rows for which ``condition`` holds, at the end of each tick."""
     ticks = tick_counts(rows, {"_n": condition}, interval, time)
-    return running_total(ticks, "_n", "value", position="_tick", block_rows=MIN_BLOCK_ROWS).select("ts", "value")
+    return running_total(ticks, "_n", "value", position="_tick", block_rows=BLOCK_ROWS).select("ts", "value")
 
 
 def requests_sent_report(attempts: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
@@ -154,5 +154,5 @@ def gauge_report(
     ticks = gap_free(per_tick, interval, keys).select(
         *keys, "ts", "_tick", *[F.col(f"_last.{v}").alias(v) for v in values]
     )
-    filled = carry_forward(ticks, values, "_tick", MIN_BLOCK_ROWS, keys)
+    filled = carry_forward(ticks, values, "_tick", BLOCK_ROWS, keys)
     return filled.select(*keys, "ts", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])

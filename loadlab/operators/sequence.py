@@ -5,20 +5,21 @@ construction:
 
 * rows that have to be put in order first (:func:`in_order`) go through one
   range shuffle; the parts are Spark's own range partitions;
-* rows that already carry a dense id are cut into at most ``MAX_BLOCKS`` id
-  blocks (:func:`with_block`), so blocks are even whatever the data looks like.
+* rows that already carry a dense id are cut into id blocks of a fixed size
+  (:func:`with_block`), so blocks are even whatever the data looks like; what
+  blocks pass on is folded in two levels (:func:`before_block`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadlab.session import stage
 
-MAX_BLOCKS = 10_000
-MIN_BLOCK_ROWS = 100_000
+BLOCK_ROWS = 100_000
+BLOCKS_PER_GROUP = 1_000
 
 _ROW_BITS = (1 << 33) - 1  # row part of monotonically_increasing_id()
 
@@ -117,17 +118,48 @@ def in_order(df: DataFrame, order: list[str], previous: list[str] = (), position
     return numbered.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(position), *carried)
 
 
-def block_rows_for(total: int, block_rows: int | None = None) -> int:
-    """Rows per id block: given, or so that at most ``MAX_BLOCKS`` blocks arise."""
-    return block_rows or max(MIN_BLOCK_ROWS, -(-total // MAX_BLOCKS))
-
-
 def with_block(df: DataFrame, position: str = "id", block_rows: int | None = None) -> DataFrame:
     """Add ``_block``, the id block of a dense 0-based ``position``."""
-    if block_rows is None:
-        last = df.agg(F.max(position)).first()[0]
-        block_rows = block_rows_for((last or 0) + 1)
-    return df.withColumn("_block", F.expr(f"`{position}` div {block_rows}"))
+    return df.withColumn("_block", F.expr(f"`{position}` div {block_rows or BLOCK_ROWS}"))
+
+
+def before_block(per_block: DataFrame, value: str, out: str, keys: list[str] = (), fold=F.sum) -> DataFrame:
+    """``keys, _block, out``: ``fold`` (sum or max) of ``value`` over the blocks before each one.
+
+    Groups of blocks are folded first, so neither level has many rows in a task.
+    """
+    keys = list(keys)
+    grouped = per_block.withColumn("_group", F.expr(f"_block div {BLOCKS_PER_GROUP}"))
+    groups = grouped.groupBy(*keys, "_group").agg(fold(value).alias("_all"))
+    earlier = W.partitionBy(*keys).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select(*keys, "_group", fold("_all").over(earlier).alias("_upper"))
+    inner = W.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    folded = grouped.select(*keys, "_group", "_block", fold(value).over(inner).alias("_lower")).join(groups, [*keys, "_group"])
+    if fold is F.max:
+        both = F.greatest("_upper", "_lower")
+    else:
+        both = F.coalesce("_upper", F.lit(0)) + F.coalesce("_lower", F.lit(0))
+    return folded.select(*keys, "_block", both.alias(out))
+
+
+def unfold(df: DataFrame, count: Column, position: str, keys: list[str] = (), block_rows: int | None = None) -> DataFrame:
+    """Each row ``count`` times with ``position`` 0 .. ``count`` - 1, made in parallel blocks (``_block``).
+
+    Blocks are shuffled before they are unfolded, so what moves is one row per
+    block; the unfolded rows keep the (keys, _block) partitioning and later
+    block windows need no shuffle.  No array is longer than a block.
+    """
+    rows = block_rows or BLOCK_ROWS
+    sized = df.withColumn("_count", count.cast("bigint")).where(F.col("_count") > 0)
+    groups = sized.withColumn("_group", F.explode(F.expr(f"sequence(0L, (_count - 1) div {rows * BLOCKS_PER_GROUP})")))
+    last = F.least(F.expr(f"(_count - 1) div {rows}"), (F.col("_group") + 1) * BLOCKS_PER_GROUP - 1)
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.col("_group") * BLOCKS_PER_GROUP, last)))
+    first = F.col("_block") * rows
+    return (
+        blocks.repartition(*keys, "_block")
+        .withColumn(position, F.explode(F.sequence(first, F.least(first + rows, F.col("_count")) - 1)))
+        .drop("_count", "_group")
+    )
 
 
 def running_total(
@@ -139,16 +171,13 @@ def running_total(
     or staged rows.
     """
     blocked = with_block(df, position, block_rows)
-    totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total"))  # at most MAX_BLOCKS rows
-    before = totals.select(
-        "_block", (F.sum("_total").over(W.orderBy("_block")) - F.col("_total")).alias("_before")
-    )
+    totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total"))
     inside = F.sum(value).over(
         W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
         blocked.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_block")
+        .join(before_block(totals, "_total", "_before"), "_block")
         .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
     )
 

@@ -67,14 +67,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pos, term``: the first two words of every user turn in ``conversations``,
-    then each first word, in that order."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    words = F.split("text", " ")
-    lines = turns.select(
-        "conv_id", "turn", F.posexplode(F.array(F.concat_ws(" ", F.slice(words, 1, 2)), F.lower(words[0]))).alias("part", "term")
-    )
-    return in_order(lines, ["conv_id", "turn", "part"], position="pos").select("pos", "term")
+    """``pos, term``: of every turn in ``conversations``, in order, each line of
+    its text, then each of its words as it first occurs."""
+    turns = table(spark, sf_dir, "conversations")
+    lines = F.split("text", "\n")
+    words = F.array_distinct(F.split("text", "[ \n]"))
+    terms = turns.select("conv_id", "turn", F.posexplode(F.concat(lines, words)).alias("part", "term"))
+    return in_order(terms, ["conv_id", "turn", "part"], position="pos").select("pos", "term")
 
 
 def node_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,9 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("_id"),
         "url",
-        F.struct(F.col("url").alias("url"), html_lang.alias("lang"), F.length("html").alias("size")).alias("_source"),
+        F.struct(
+            F.col("url").alias("url"), html_lang.alias("lang"), F.length("html").alias("size"), F.col("html").alias("html")
+        ).alias("_source"),
         F.array(
             F.struct(F.concat(F.col("url"), F.lit("#top")).alias("url")), F.struct(F.lit("mailto:x").alias("url"))
         ).alias("links"),

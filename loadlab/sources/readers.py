@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlab import schemas
 from loadlab.operators import nodes
-from loadlab.operators.sequence import in_order
+from loadlab.operators.sequence import BLOCK_ROWS, carry_forward, in_order
 
 # Columns that identify a text line and sort lines in input order.
 LINE_ORDER = ["file", "block", "line"]
@@ -85,6 +85,17 @@ def read_node_stats(spark: SparkSession, path: str | list[str], one_per_line: bo
     return nodes.parse_polls(bodies)
 
 
+def _entry(line: Column) -> list[Column]:
+    """Field (where one begins), key and anon of a line written by
+    :func:`loadlab.sources.writers.write_pseudonyms`, and whether it is one."""
+    string = r'("(?:[^"\\\\]|\\\\.)*")'
+    form = rf"^(?:\{{|\}},|,)(?:{string}:\{{)?{string}:{string}(?:\}}\}})?$"
+    parts = [F.nullif(F.regexp_extract(line, form, i), F.lit("")) for i in (1, 2, 3)]
+    plain = [F.from_json(F.concat(F.lit('{"v":'), part, F.lit("}")), "v string")["v"] for part in parts]
+    is_entry = F.regexp_like(line, F.lit(form)) | (line == "{}")
+    return [*[p.alias(n) for p, n in zip(plain, ("field", "key", "anon"))], is_entry.alias("_is_entry")]
+
+
 def read_pseudonyms(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """A pseudonym dictionary ``field, key, anon``; empty for an empty path.
 
@@ -93,6 +104,12 @@ def read_pseudonyms(spark: SparkSession, path: str, format: str = "parquet") ->
     if not path:
         return spark.createDataFrame([], schemas.PSEUDONYMS)
     if format == "json":
+        lines = in_order(read_lines(spark, path), LINE_ORDER, position="_n")
+        parts = lines.select("_n", *_entry(F.col("value")))
+        if parts.where("not _is_entry").isEmpty():
+            known = carry_forward(parts, ["field"], "_n", BLOCK_ROWS)
+            return known.where("key is not null").select("field", "key", "anon")
+        # Not written here: any layout, one object per file.
         text = spark.read.text(path, wholetext=True)
         maps = text.select(F.from_json("value", "map<string,map<string,string>>").alias("fields"))
         return maps.select(F.explode("fields").alias("field", "_keys")).select("field", F.explode("_keys").alias("key", "anon"))

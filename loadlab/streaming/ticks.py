@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.operators.reports import APPROX_ACCURACY
-from loadlab.operators.sequence import MIN_BLOCK_ROWS, running_total
+from loadlab.operators.sequence import BLOCK_ROWS, running_total
 
 DEFAULT_WATERMARK = "10 seconds"
 
@@ -55,4 +55,4 @@ def counter_so_far(ticks: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECO
         return ticks.select("ts", F.col("n").alias("value"))
     step = F.lit(interval).cast("bigint")
     numbered = ticks.withColumn("_tick", F.call_function("div", F.col("ts") - F.lit(start), step))
-    return running_total(numbered, "n", "value", position="_tick", block_rows=MIN_BLOCK_ROWS).select("ts", "value")
+    return running_total(numbered, "n", "value", position="_tick", block_rows=BLOCK_ROWS).select("ts", "value")

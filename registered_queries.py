@@ -190,11 +190,12 @@ def arrivals_poisson(spark, sf_dir):
 
 
 DICTIONARY = r"""
-turns AS (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations WHERE role = 'user'),
+turns AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '[ \n]') AS words FROM conversations),
 parts AS (
-  SELECT conv_id, turn, 0 AS part, array_to_string(words[1:2], ' ') AS term FROM turns
-  UNION ALL SELECT conv_id, turn, 1, lower(words[1]) FROM turns),
-dictionary AS (SELECT row_number() OVER (ORDER BY conv_id, turn, part) - 1 AS pos, term FROM parts)"""
+  SELECT conv_id, turn, 0 AS part, i, lines[i] AS term FROM turns, unnest(range(1, len(lines) + 1)) AS t(i)
+  UNION ALL
+  SELECT conv_id, turn, 1, min(i), words[i] FROM turns, unnest(range(1, len(words) + 1)) AS t(i) GROUP BY conv_id, turn, words[i]),
+dictionary AS (SELECT row_number() OVER (ORDER BY conv_id, turn, part, i) - 1 AS pos, term FROM parts)"""
 
 
 @query(

@@ -17,7 +17,7 @@ ROWS = [
     (2, "bob", 6, (None, None, None, None), None, None),
     (3, None, 7, ("ann ann", [], ("no mail",), []), {}, {}),
 ]
-PATTERNS = documents.field_patterns([r"user::(\w+)", r"mail::(\w+)@"])
+PATTERNS = {"user": r"(\w+)", "mail": r"(\w+)@"}
 
 
 def docs(spark):
@@ -35,10 +35,41 @@ def as_dict(df):
     return {(r.field, r.key): r.anon for r in rows}
 
 
-def test_options():
-    assert documents.field_patterns(["a::x(.)y::ignored", "b", "a::(z)"]) == {"a": "(z)", "b": "(.*)"}
-    with pytest.raises(ValueError):
-        documents.field_patterns(["a::.*"])
+def test_options(spark):
+    patterns = documents.field_patterns
+    assert patterns([r"user::(\w+)", r"mail::(\w+)@"]) == PATTERNS
+    assert patterns(["a::x(.)y::ignored", "b", "a::(z)"]) == {"a": "(z)", "b": documents.WHOLE_VALUE}
+    assert patterns([r"a::(\p{L}+)"]) == {"a": r"(\p{L}+)"}
+    assert patterns([r"a::(?P<u_1>\w+)[(?P<x>]\(?P<y>"])["a"] == r"(\w+)[(?P<x>]\(?P<y>"
+    for wrong in ("a::.*", "a::(", "a::(?:x)"):
+        with pytest.raises(ValueError):
+            patterns([wrong])
+
+
+VALUES = ["line one\nsecret two", "\nall secret", "a\r\nb", "x\u2028y", "\n", "plain", "tail\n"]
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_a_bare_field_is_replaced_whole(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    whole = documents.field_patterns(["name"])
+    df = spark.createDataFrame(list(enumerate(VALUES)), "_id long, name string")
+    got = pseudonyms.pseudonymise(df, whole, ["_id"])[0].orderBy("_id").collect()
+    assert [r.name for r in got] == [str(i) for i in range(len(VALUES))]
+    text = spark.createDataFrame([(i, json.dumps({"name": v})) for i, v in enumerate(VALUES)], "ord long, body string")
+    got = pseudonyms.json_pseudonymise(text, whole, ["ord"])[0].orderBy("ord").collect()
+    assert [json.loads(r.body)["name"] for r in got] == [str(i) for i in range(len(VALUES))]
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_null_order_and_any_number(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    df = spark.createDataFrame([(None, "bob"), (1, "ann")], "_id long, user string")
+    assert {r.user for r in pseudonyms.pseudonymise(df, PATTERNS, ["_id"])[0].collect()} == {"0", "1"}
+    texts = ['{"user":"ann","n":1e400,"m":-1.50E+2,"k":123456789012345678901234567890}', '{"\\u0075ser":"bob"}']
+    df = spark.createDataFrame([(None, texts[0]), (2, texts[1])], "ord long, body string")
+    one, two = (r.body for r in pseudonyms.json_pseudonymise(df, PATTERNS, ["ord"])[0].orderBy("ord").collect())
+    assert '"user":"0"' in one and "1e400" in one and '"user":"1"' in two
 
 
 def test_map_in_order_of_first_appearance(spark):
