@@ -21,6 +21,12 @@ def parse_polls(polls: DataFrame, body: str = "body", poll_ts: str | None = None
     return nodes.select(seconds.cast("bigint").alias("poll_ts"), "node_id", "stats")
 
 
+def unreadable_polls(polls: DataFrame, body: str = "body") -> DataFrame:
+    """Polls without a readable list of nodes, which :func:`parse_polls` leaves out."""
+    found = F.from_json(body, schemas.POLL_BODY)["nodes"]
+    return polls.where(found.isNull() | (F.size(found) == 0))
+
+
 def series(nodes: DataFrame, name: str) -> DataFrame:
     """One metric series under its report column names."""
     headers, paths = fixed.NODE_SERIES[name]

@@ -128,6 +128,11 @@ def throughput_report(
     )
 
 
+def untimed(rows: DataFrame, time: str = "ts") -> DataFrame:
+    """Rows without a time, which belong to no tick and are in no report."""
+    return rows.where(F.col(time).isNull())
+
+
 def status_summary(attempts: DataFrame, throttle_codes=DEFAULT_THROTTLE_CODES) -> DataFrame:
     """Requests per status code and outcome."""
     return attempts.groupBy("code", outcome(F.col("code"), throttle_codes).alias("outcome")).agg(
@@ -151,8 +156,13 @@ def gauge_report(
     per_tick = polls.groupBy(*keys, tick_end(F.col(time), interval).alias("ts")).agg(
         F.max_by(F.struct(*values), F.col(time) if newest is None else newest).alias("_last")
     )
-    ticks = gap_free(per_tick, interval, keys).select(
-        *keys, "ts", "_tick", *[F.col(f"_last.{v}").alias(v) for v in values]
-    )
+    return carried(per_tick.select(*keys, "ts", *[F.col(f"_last.{v}").alias(v) for v in values]), values, interval, keys)
+
+
+def carried(per_tick: DataFrame, values: list[str], interval: int, keys: list[str] = ()) -> DataFrame:
+    """Values per tick, each carried over ticks without one, 0 before the first."""
+    keys = list(keys)
+    quoted = [f"`{v}`" for v in values]
+    ticks = gap_free(per_tick, interval, keys).select(*keys, "ts", "_tick", *quoted)
     filled = carry_forward(ticks, values, "_tick", BLOCK_ROWS, keys)
-    return filled.select(*keys, "ts", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
+    return filled.select(*keys, "ts", *[F.coalesce(q, F.lit(0)).alias(v) for q, v in zip(quoted, values)])

@@ -232,15 +232,15 @@ def carry_forward(
     keys = list(keys)
     blocked = with_block(df, position, block_rows)
     ends = blocked.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_last_{c}") for c in columns]
+        *[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(position))).alias(f"_last_{c}") for c in columns]
     )
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
-        *keys, "_block", *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in columns]
+        *keys, "_block", *[F.last(F.col(f"`_last_{c}`"), ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in columns]
     )
     inside = W.partitionBy(*keys, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{c}")) for c in columns
+        c: F.coalesce(F.last(F.col(f"`{c}`"), ignorenulls=True).over(inside), F.col(f"`_carried_{c}`")) for c in columns
     }
     return (
         blocked.join(carried, [*keys, "_block"])

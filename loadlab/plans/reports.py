@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES
-from loadlab.operators import attribution, nodes, reports
-from loadlab.session import prepare
+from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES, counts_as_error, outcome
+from loadlab.operators import attribution, reports, sequence
+from loadlab.session import prepare, stage
 from loadlab.sources.writers import metric_path, write_metrics, write_requests
 
 
@@ -24,18 +24,32 @@ def report_series(
     with NULL code for transport failures; ``node_stats``: parsed polls.
     """
     prepare(attempts.sparkSession)
+    error = counts_as_error(outcome(F.col("code"), throttle_codes))
+    counts = stage(reports.tick_counts(attempts, {"sent": F.lit(True), "failed": error}, interval), "tick-counts")
+    running = {
+        name: sequence.running_total(counts, column, "value", position="_tick").select("ts", "value")
+        for name, column in ((fixed.REQUESTS_SENT, "sent"), (fixed.ERRORS, "failed"))
+    }
     series = {
         fixed.RESPONSE_TIME: reports.response_time_report(attempts, interval, approx),
         fixed.PAUSE_TIME: reports.pause_report(attempts, interval, throttle_codes, approx),
-        fixed.REQUESTS_SENT: reports.requests_sent_report(attempts, interval),
-        fixed.ERRORS: reports.errors_report(attempts, interval, throttle_codes),
+        **running,
     }
     if node_stats is not None:
-        for name, (headers, _) in fixed.NODE_SERIES.items():
-            polls = nodes.series(node_stats, name)
-            series[name] = reports.gauge_report(
-                polls, list(headers), interval, "poll_ts", F.struct("poll_ts", *headers), ["node_id"]
-            )
+        columns = {
+            f"{name}/{header}": (name, header, path)
+            for name, (headers, paths) in fixed.NODE_SERIES.items()
+            for header, path in zip(headers, paths)
+        }
+        # The newest poll of a node and tick, all its series; polls at the same time go by their values.
+        newest = node_stats.groupBy("node_id", reports.tick_end(F.col("poll_ts"), interval).alias("ts")).agg(
+            F.max_by("stats", F.struct("poll_ts", *[F.col(f"stats.{path}") for _, _, path in columns.values()])).alias("stats")
+        )
+        values = newest.select("node_id", "ts", *[F.col(f"stats.{path}").alias(c) for c, (_, _, path) in columns.items()])
+        ticks = stage(reports.carried(values, list(columns), interval, ["node_id"]), "node-ticks")
+        for name in fixed.NODE_SERIES:
+            own = [F.col(f"`{c}`").alias(header) for c, (of, header, _) in columns.items() if of == name]
+            series[name] = ticks.select("node_id", "ts", *own)
     return series
 
 

@@ -7,6 +7,7 @@ and reads only folders of earlier batches, so every batch counts once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
@@ -27,3 +28,18 @@ def read_before(spark: SparkSession, folder: str, batch_id: int, schema) -> Data
 
 def read_all(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*").drop("batch")
+
+
+def write_updates(updates: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Every batch's changed rows of an aggregation, the ones still open included."""
+    writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda rows, batch_id: write_batch(rows, folder, batch_id))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def newest(spark: SparkSession, folder: str, keys: list[str], schema) -> DataFrame:
+    """Of what :func:`write_updates` wrote, each key's row of its last batch."""
+    parts = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*")
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    last = parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in schema.names])

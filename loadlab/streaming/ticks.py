@@ -1,11 +1,17 @@
-"""Report series on streams: event-time ticks closed by a watermark."""
+"""Report series on streams: event-time ticks.
+
+Ticks are written as they change (:func:`loadlab.streaming.batches.write_updates`),
+the current one too; a report is made when it is read, from each tick's newest
+rows, gap-free and with the last tick as far as it has come.  A watermark only
+bounds the state: what comes later than it allows is dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.operators.reports import APPROX_ACCURACY
+from loadlab.operators.reports import APPROX_ACCURACY, carried, gap_free
 from loadlab.operators.sequence import BLOCK_ROWS, running_total
 
 DEFAULT_WATERMARK = "10 seconds"
@@ -28,7 +34,7 @@ def histogram_ticks(
     watermark: str = DEFAULT_WATERMARK,
     approx: bool = False,
 ) -> DataFrame:
-    """``ts, count, p50, p90, p99, p999`` of each closed tick (append mode)."""
+    """``ts, count, p50, p90, p99, p999`` of each tick."""
     quantiles = list(fixed.QUANTILES)
     digest = F.percentile_approx(value, quantiles, APPROX_ACCURACY) if approx else F.percentile(value, quantiles)
     ticks = _windows(rows, time, interval, watermark).agg(F.count("*").alias("count"), digest.alias("_q"))
@@ -44,15 +50,34 @@ def counter_ticks(
     time: str = "time",
     watermark: str = DEFAULT_WATERMARK,
 ) -> DataFrame:
-    """``ts, n``: rows of each closed tick for which ``condition`` holds (append mode)."""
+    """``ts, n``: rows of each tick for which ``condition`` holds."""
     return _windows(rows, time, interval, watermark).agg(F.count_if(condition).alias("n")).select(_tick(), "n")
 
 
+def gauge_ticks(
+    rows: DataFrame,
+    values: list[str],
+    newest: Column,
+    interval: int = fixed.DEFAULT_INTERVAL_SECONDS,
+    time: str = "time",
+    watermark: str = DEFAULT_WATERMARK,
+) -> DataFrame:
+    """``ts`` and the last polled ``values`` of each tick; ``newest`` orders polls and must not tie."""
+    ticks = _windows(rows, time, interval, watermark).agg(F.max_by(F.struct(*values), newest).alias("_last"))
+    return ticks.select(_tick(), *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
+def histogram_so_far(ticks: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
+    """The report out of :func:`histogram_ticks`, one row per tick."""
+    return gap_free(ticks, interval).select("ts", F.coalesce("count", F.lit(0)).alias("count"), *fixed.QUANTILE_NAMES)
+
+
 def counter_so_far(ticks: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
-    """Running totals out of written :func:`counter_ticks`, summed when read."""
-    start = ticks.agg(F.min("ts")).first()[0]
-    if start is None:
-        return ticks.select("ts", F.col("n").alias("value"))
-    step = F.lit(interval).cast("bigint")
-    numbered = ticks.withColumn("_tick", F.call_function("div", F.col("ts") - F.lit(start), step))
-    return running_total(numbered, "n", "value", position="_tick", block_rows=BLOCK_ROWS).select("ts", "value")
+    """Running totals out of :func:`counter_ticks`, one row per tick."""
+    filled = gap_free(ticks, interval).select("_tick", "ts", F.coalesce("n", F.lit(0)).alias("n"))
+    return running_total(filled, "n", "value", position="_tick", block_rows=BLOCK_ROWS).select("ts", "value")
+
+
+def gauges_so_far(ticks: DataFrame, values: list[str], interval: int = fixed.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
+    """Last values out of :func:`gauge_ticks`, one row per tick, carried over ticks without a poll."""
+    return carried(ticks, values, interval)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loadlab import fixed_values as fixed
 from loadlab.functions import documents, outcomes
 from loadlab.operators import arrivals, attribution, cooldown, hits, nodes, pseudonyms, reports, requests, sequence
-from loadlab.plans import given_tables as given, loadspecs
+from loadlab.plans import given_tables as given, indexes, loadspecs, reports as reports_job
 from loadlab.sources import readers, writers
 from loadlab.session import new_folder, prepare, stage
 from loadlab.streaming import batches, delays, slowlog as slowlog_stream, ticks
@@ -639,6 +639,70 @@ def pseudonym_file(spark, sf_dir):
     return readers.read_pseudonyms(spark, folder, "json")
 
 
+@query("hits_file", f'WITH {MATCH} SELECT "Term", "Count" FROM hits')
+def hits_file(spark, sf_dir):
+    """Hit counts written as JSON lines and read back."""
+    folder = new_folder(spark, "files")
+    indexes.hit_counts(given.documents(spark, sf_dir), given.dictionary(spark, sf_dir), path=folder)
+    return spark.read.schema("Term string, Count bigint").json(folder)
+
+
+@query("node_stats_files", f'WITH {NODES} SELECT poll_ts, node_id, k % 100 AS percent, k * 10 AS "time" FROM polls')
+def node_stats_files(spark, sf_dir):
+    """Polls stored one per line, read back and parsed."""
+    folder = new_folder(spark, "files")
+    given.node_polls(spark, sf_dir).select("body").write.text(folder)
+    return nodes.series(readers.read_node_stats(spark, folder, one_per_line=True), "cpu")
+
+
+@query(
+    "report_files",
+    f"""WITH {ATTEMPTS}, per_day AS (
+      SELECT (ts // 86400 + 1) * 86400 AS day, count(*) FILTER (outcome IN ('transport', 'client_error', 'error')) AS n
+      FROM judged GROUP BY day),
+    days AS (SELECT unnest(range(min(day), max(day) + 1, 86400)) AS ts FROM per_day)
+    SELECT ts, CAST(sum(coalesce(n, 0)) OVER (ORDER BY ts) AS BIGINT) AS "value" FROM days LEFT JOIN per_day ON day = ts""",
+)
+def report_files(spark, sf_dir):
+    """All report files of a test, a day per tick; the error series read back."""
+    folder = new_folder(spark, "files")
+    polls = stage(nodes.parse_polls(given.node_polls(spark, sf_dir)), "polls")
+    reports_job.write_reports(stage(given.attempts(spark, sf_dir), "attempts"), folder, node_stats=polls, interval=86_400)
+    path = writers.metric_path(folder, fixed.ERRORS, "1")
+    return spark.read.schema("ts bigint, value bigint").csv(path, header=True)
+
+
+@query(
+    "index_copy",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(lang, lang, l.anon), lang) AS lang,
+           (SELECT md5(p.html) FROM pages AS p WHERE p.page_id = found.page_id) AS html {SWAPPED}""",
+)
+def index_copy(spark, sf_dir):
+    """An index dumped as JSON lines, copied with pseudonyms and read back.
+
+    The split size changes between the two, which must not matter."""
+    folder = new_folder(spark, "files")
+    writers.write_documents(given.page_documents(spark, sf_dir).orderBy("_id"), folder + "/dump")
+    dumped = readers.read_documents(spark, folder + "/dump")
+    # Keys are numbered in the order of pages.
+    named = dumped.withColumn("_page", F.get_json_object("body", "$._id").cast("bigint"))
+    options = [*PAGE_OPTIONS]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    indexes.pseudonymise_index(named, options, ["_page"], folder + "/copy", folder + "/map", body="body", dictionary_format="json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        copied = stage(spark.read.text(folder + "/copy"), "copy")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    member = lambda path: F.get_json_object("value", path)
+    return copied.select(
+        member("$._id").cast("bigint").alias("_id"), member("$.url").alias("url"), member("$._source.lang").alias("lang"),
+        F.md5(member("$._source.html")).alias("html"),
+    )
+
+
 @query(
     "document_slice",
     "SELECT page_id AS _id, url FROM pages ORDER BY page_id LIMIT 120 OFFSET 30",
@@ -738,38 +802,52 @@ def timed_events(spark, sf_dir) -> DataFrame:
     )
 
 
-# Ticks that end no later than the newest event less the watermark delay are closed.
-CLOSED = """
-ticks AS (SELECT *, epoch_us(ts) // 3600000000 * 3600 + 3600 AS tick FROM events),
-closed AS (SELECT * FROM ticks WHERE tick * 1000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000)"""
+def updated(spark, arriving: DataFrame, by: str, transform) -> DataFrame:
+    """Run an aggregation over all arrivals and read each tick's newest row."""
+    folder = new_folder(spark, "stream")
+    schemas = []
+
+    def start(stream):
+        out = transform(stream)
+        schemas.append(out.schema)
+        return batches.write_updates(out, folder, folder + "-checkpoint")
+
+    given.replay(arriving, by, start)
+    return batches.newest(spark, folder, ["ts"], schemas[-1])
+
+
+HOURS = """
+hours AS (SELECT *, epoch_us(ts) // 3600000000 * 3600 + 3600 AS tick FROM events),
+spine AS (SELECT unnest(range(min(tick), max(tick) + 1, 3600)) AS ts FROM hours)"""
 
 
 @query(
     "stream_latency",
-    f"""WITH {CLOSED}, q AS (
+    f"""WITH {HOURS}, q AS (
       SELECT tick, count(*) AS n, quantile_cont(CAST(floor(value) AS BIGINT), [0.5, 0.9, 0.99, 0.999]) AS v
-      FROM closed GROUP BY tick)
-    SELECT tick AS ts, n AS "count", round(v[1], 6) AS p50, round(v[2], 6) AS p90, round(v[3], 6) AS p99,
-           round(v[4], 6) AS p999 FROM q""",
+      FROM hours GROUP BY tick)
+    SELECT ts, coalesce(n, 0) AS "count", round(v[1], 6) AS p50, round(v[2], 6) AS p90, round(v[3], 6) AS p99,
+           round(v[4], 6) AS p999 FROM spine LEFT JOIN q ON tick = ts""",
 )
 def stream_latency(spark, sf_dir):
-    report = written(
+    """Every tick, the last one too."""
+    ticked = updated(
         spark,
         timed_events(spark, sf_dir),
         "us",
         lambda rows: ticks.histogram_ticks(rows, "took_in_millis", 3600, watermark="10 minutes"),
     )
-    return rounded(report)
+    return rounded(ticks.histogram_so_far(ticked, 3600))
 
 
 @query(
     "stream_errors",
-    f"""WITH {CLOSED}, per_tick AS (
-      SELECT tick AS ts, count(*) FILTER (event_type = 'error') AS n FROM closed GROUP BY tick)
-    SELECT ts, CAST(sum(n) OVER (ORDER BY ts) AS BIGINT) AS "value" FROM per_tick""",
+    f"""WITH {HOURS}, per_tick AS (
+      SELECT tick, count(*) FILTER (event_type = 'error') AS n FROM hours GROUP BY tick)
+    SELECT ts, CAST(sum(coalesce(n, 0)) OVER (ORDER BY ts) AS BIGINT) AS "value" FROM spine LEFT JOIN per_tick ON tick = ts""",
 )
 def stream_errors(spark, sf_dir):
-    counts = written(
+    counts = updated(
         spark,
         timed_events(spark, sf_dir),
         "us",
@@ -778,6 +856,24 @@ def stream_errors(spark, sf_dir):
     return ticks.counter_so_far(counts, 3600)
 
 
+@query(
+    "stream_gauges",
+    f"""WITH {HOURS}, newest AS (
+      SELECT tick, last(CAST(floor(value) AS BIGINT) ORDER BY epoch_us(ts), event_id) AS v FROM hours GROUP BY tick)
+    SELECT s.ts, coalesce(last_value(v IGNORE NULLS) OVER w, 0) AS took_in_millis
+    FROM spine s LEFT JOIN newest ON tick = s.ts
+    WINDOW w AS (ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def stream_gauges(spark, sf_dir):
+    polled = updated(
+        spark,
+        timed_events(spark, sf_dir),
+        "us",
+        lambda rows: ticks.gauge_ticks(rows, ["took_in_millis"], F.struct("us", "event_id"), 3600, watermark="10 minutes"),
+    )
+    return ticks.gauges_so_far(polled, ["took_in_millis"], 3600)
+
+
 @query(
     "stream_delays",
     """SELECT event_id, event_type, epoch_us(ts) AS us,

@@ -28,8 +28,8 @@ def test_slowlog_file_to_loadspec_file(spark, tmp_path):
     writers.write_loadspec(spec, str(tmp_path / "spec"))
     again = readers.read_loadspec(spark, str(tmp_path / "spec")).orderBy("id").collect()
     assert [r.id for r in again] == [0, 1, 2]
-    assert [r.url.split("/")[0] for r in again] == ["host01", "", ""]
-    assert again[0].source == '{"query":{"term":{"status":"AVAILABLE"}},"size":50}'
+    assert [r.url.split("/")[0] for r in again] == ["search-7", "", ""]
+    assert again[0].source == '{"from":20,"query":{"prefix":{"customer":"mill"}}}'
     assert again[2].delay_since_last_nanos == 0
     (tmp_path / "bad.json").write_text('{"id":1}\n{"id":\n')
     with pytest.raises(Exception):

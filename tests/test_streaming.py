@@ -60,6 +60,35 @@ def test_late_rows_of_closed_ticks_are_dropped(spark, tmp_path):
     assert [(r.ts, r["count"], r.p50) for r in rows] == [(5, 3, 2.0), (15, 2, 11.5)]
 
 
+def test_reports_hold_the_current_tick(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def arrive(times):
+        df = spark.createDataFrame([(t, t) for t in times], "s long, v long").select(
+            F.timestamp_seconds("s").alias("time"), "v"
+        )
+        df.coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = spark.readStream.schema("time timestamp, v long").parquet(folder + "/in")
+        made = {
+            "h": ticks.histogram_ticks(stream, "v", 5, watermark="2 seconds"),
+            "c": ticks.counter_ticks(stream, F.col("v") > 1, 5, watermark="2 seconds"),
+            "g": ticks.gauge_ticks(stream, ["v"], F.col("time"), 5, watermark="2 seconds"),
+        }
+        for name, rows in made.items():
+            batches.write_updates(rows, f"{folder}/{name}", f"{folder}/{name}-c").awaitTermination()
+        return {name: batches.newest(spark, f"{folder}/{name}", ["ts"], rows.schema) for name, rows in made.items()}
+
+    def report(found):
+        rows = lambda df: [tuple(r)[:2] for r in df.orderBy("ts").collect()]
+        return (
+            rows(ticks.histogram_so_far(found["h"], 5)), rows(ticks.counter_so_far(found["c"], 5)), rows(ticks.gauges_so_far(found["g"], ["v"], 5)),
+        )
+
+    assert report(arrive([1, 2])) == ([(5, 2)], [(5, 1)], [(5, 2)])
+    expected = [(5, 3), (10, 0), (15, 2)], [(5, 2), (10, 2), (15, 4)], [(5, 3), (10, 3), (15, 12)]
+    assert report(arrive([3, 11, 12])) == expected
+
+
 def test_slowlog_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_bytes((FULL + "\r\njunk types[\n" + BARE + "\n").encode())
