@@ -107,11 +107,13 @@ def sample_terms(requests: DataFrame, dictionary: DataFrame, seed: int, keys: li
     Draws spread evenly over positions, so neither side of the join is skewed;
     Spark broadcasts the dictionary if it is below its broadcast threshold.
     """
-    first, last, size = dictionary.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
+    first, last, different, size = dictionary.agg(
+        F.min("pos"), F.max("pos"), F.count_distinct("pos"), F.count("*")
+    ).first()
     if last is None:
         raise ValueError("the query template uses a term but the dictionary is empty")
-    if first != 0 or size != last + 1:
-        raise ValueError("positions of the dictionary must be 0, 1, 2, ... without gaps")
+    if first != 0 or not different == size == last + 1:
+        raise ValueError("positions of the dictionary must be 0, 1, 2, ... without gaps, each once")
     drawn = F.pmod(draws.draw_bits(seed, F.lit("term"), *[F.col(k) for k in keys], F.col("id")), F.lit(last + 1))
     return requests.withColumn("_pos", drawn).join(dictionary.select(F.col("pos").alias("_pos"), "term"), "_pos").drop("_pos")
 

@@ -50,12 +50,12 @@ def json_occurrences(df: DataFrame, order: list[str], patterns: dict[str, str],
     return _occurrences(df.select(*order, listed.alias("_members")), order, patterns)
 
 
-def extend_map(found: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
-    """The known dictionary plus an id for every new key.
+def fresh_keys(found: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """``field, key, anon`` of the keys that the known dictionary does not have.
 
-    New keys count up from the number of known keys of their field, or from
-    above the largest known id if those are not dense, in the order in which
-    they first occur.
+    They count up from the number of known keys of their field, or from above
+    the largest known id if those are not dense, in the order in which they
+    first occur.
     """
     keys = found.groupBy("field", "key").agg(F.min(F.struct(*order, "place")).alias("_first"))
     if known is not None:
@@ -70,9 +70,14 @@ def extend_map(found: DataFrame, order: list[str], known: DataFrame | None = Non
         starts = starts.join(used, "field", "left")
     else:
         starts = starts.withColumn("_used", F.lit(0))
-    fresh = numbered.join(F.broadcast(starts), "field").select(
+    return numbered.join(F.broadcast(starts), "field").select(
         "field", "key", (F.col("_n") - F.col("_start") + F.coalesce("_used", F.lit(0))).cast("string").alias("anon")
     )
+
+
+def extend_map(found: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """The known dictionary plus an id for every new key (:func:`fresh_keys`)."""
+    fresh = fresh_keys(found, order, known)
     return fresh if known is None else known.select("field", "key", "anon").unionByName(fresh)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loadlab import fixed_values as fixed
 from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES, counts_as_error, outcome
 from loadlab.operators import attribution, reports, sequence
-from loadlab.session import prepare, stage
+from loadlab.session import prepare, stage, staged_here
 from loadlab.sources.writers import metric_path, write_metrics, write_requests
 
 
@@ -65,5 +65,6 @@ def write_reports(
     """All series and the per-request rows as ``<name>_<exp_id>.csv``."""
     if not results_path:
         raise ValueError("results_path can not be empty")
-    write_metrics(report_series(attempts, node_stats, interval, throttle_codes, approx), results_path, exp_id)
-    write_requests(attribution.request_rows(attempts), metric_path(results_path, fixed.REQUEST, exp_id))
+    with staged_here(prepare(attempts.sparkSession)):
+        write_metrics(report_series(attempts, node_stats, interval, throttle_codes, approx), results_path, exp_id)
+        write_requests(attribution.request_rows(attempts), metric_path(results_path, fixed.REQUEST, exp_id))

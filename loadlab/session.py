@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="loadlab-"))
     return context.getCheckpointDir()
@@ -39,14 +42,33 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/loadlab/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the jobs that remove what they stage, innermost last.
+_scopes: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    below = _scopes[-1] if _scopes else _own_dir(spark)
+    return f"{below}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application staged; results read from it are gone as well."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def staged_here(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go when the job ends; its results must be written by then."""
+    _scopes.append(f"{_own_dir(spark)}/job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlab import schemas
@@ -61,14 +64,25 @@ def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def slice_documents(df: DataFrame, order: list[str], offset: int = 0, total: int = 0) -> DataFrame:
     """``total`` documents after the first ``offset`` in the order of ``order``; 0 means all.
 
-    Positions are numbered in parallel, so a large slice is not pulled through
-    one task as by a global limit.
+    Only the ``order`` columns, which identify a document, are numbered; the
+    documents between the first and the last wanted one are then filtered, so
+    they are neither sorted nor copied.
     """
     if not offset and not total:
         return df
-    numbered = in_order(df, order, position="_n")
-    end = F.lit(True) if not total else F.col("_n") < offset + total
-    return numbered.where((F.col("_n") >= offset) & end).drop("_n")
+    numbered = in_order(df.select(*order), order, position="_n")
+    wanted = [F.col("_n") == offset] + ([F.col("_n") == offset + total - 1] if total else [])
+    ends = numbered.where(reduce(or_, wanted)).orderBy("_n").collect()  # two rows at most
+    if not ends or ends[0]["_n"] != offset:
+        return df.limit(0)
+    place = F.struct(*order)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def at(row) -> Column:
+        return F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in order])
+
+    chosen = df.where(place >= at(ends[0]))
+    return chosen.where(place <= at(ends[1])) if len(ends) > 1 else chosen.where(place <= at(ends[0])) if total == 1 else chosen
 
 
 def read_documents(

@@ -14,8 +14,10 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
-def read_batch(spark: SparkSession, folder: str, batch_id: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id}")
+def read_from(spark: SparkSession, folder: str, first: int, before: int, schema) -> DataFrame:
+    """Rows of the batches from ``first`` to the one before ``before``."""
+    paths = [f"{folder}/batch={n}" for n in range(first, before)]
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def read_before(spark: SparkSession, folder: str, batch_id: int, schema) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loadlab.operators.sequence import in_order
 from loadlab.session import stage
-from loadlab.streaming.batches import read_batch, write_batch
+from loadlab.streaming.batches import read_from, write_batch
+
+FULL_EVERY = 16
 
 
 def batch_delays(rows: DataFrame, key: str, time: str, tie_break: list[str], last_seen: DataFrame | None) -> DataFrame:
@@ -39,16 +41,23 @@ def batch_delays(rows: DataFrame, key: str, time: str, tie_break: list[str], las
 def stream_delays(
     stream: DataFrame, key: str, time: str, tie_break: list[str], out: str, state: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Write rows with their delay to ``out``; the last time per key goes to ``state``."""
+    """Write rows with their delay to ``out``; the last time per key goes to ``state``.
+
+    A batch writes the keys it has seen; every ``FULL_EVERY`` batches all keys
+    are written, and only batches from there on are read.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = f"`{key}` {kinds[key]}, last {kinds[time]}"
 
     def process(rows: DataFrame, batch_id: int) -> None:
-        known = read_batch(rows.sparkSession, state, batch_id - 1, schema) if batch_id else None
+        known = read_from(rows.sparkSession, state, (batch_id - 1) // FULL_EVERY * FULL_EVERY, batch_id, schema) if batch_id else None
+        if known is not None:
+            known = known.groupBy(key).agg(F.max("last").alias("last"))
         arrived = stage(rows, "arrived")
         write_batch(batch_delays(arrived, key, time, tie_break, known), out, batch_id)
         newest = arrived.select(key, F.col(time).alias("last"))
-        seen = newest if known is None else newest.unionByName(known)
+        full = known is not None and batch_id % FULL_EVERY == 0
+        seen = newest.unionByName(known) if full else newest
         write_batch(seen.groupBy(key).agg(F.max("last").alias("last")), state, batch_id)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -23,22 +23,33 @@ def stream_pseudonymise(
     dictionary: str,
     checkpoint: str,
     known: DataFrame | None = None,
+    body: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Write rewritten typed documents to ``out`` and new keys to ``dictionary``, per batch."""
+    """Write rewritten documents to ``out`` and new keys to ``dictionary``, per batch.
+
+    With ``body`` the documents are JSON text in that column, else they are typed.
+    """
 
     def process(documents: DataFrame, batch_id: int) -> None:
         arrived = stage(documents, "arrived")
         before = read_before(arrived.sparkSession, dictionary, batch_id, schemas.PSEUDONYMS)
         if known is not None:
             before = before.unionByName(known.select("field", "key", "anon"))
-        extended = pseudonyms.build_map(arrived, patterns, order, before)
-        fresh = extended.join(before.select("field", "key"), ["field", "key"], "left_anti")
-        write_batch(fresh, dictionary, batch_id)
-        complete = read_before(arrived.sparkSession, dictionary, batch_id + 1, schemas.PSEUDONYMS)
-        if known is not None:
-            complete = complete.unionByName(known.select("field", "key", "anon"))
-        write_batch(pseudonyms.rewrite(arrived, patterns, complete, order), out, batch_id)
+        if body is None:
+            found = stage(pseudonyms.occurrences(arrived, order, patterns), "occurrences")
+        else:
+            found = stage(pseudonyms.json_occurrences(arrived, order, patterns, body), "occurrences")
+        write_batch(pseudonyms.fresh_keys(found, order, before), dictionary, batch_id)
+        # What is known and occurs here is all that this batch needs.
+        fresh = read_before(arrived.sparkSession, dictionary, batch_id + 1, schemas.PSEUDONYMS)
+        complete = fresh if known is None else fresh.unionByName(known.select("field", "key", "anon"))
+        needed = stage(complete.join(found.select("field", "key").distinct(), ["field", "key"], "left_semi"), "needed")
+        if body is None:
+            rewritten = pseudonyms.rewrite(arrived, patterns, needed, order, found)
+        else:
+            rewritten = pseudonyms.json_rewrite(arrived, patterns, needed, order, body, found)
+        write_batch(rewritten, out, batch_id)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -479,7 +479,7 @@ sent AS (
 
 def replayed(spark, sf_dir):
     """A loadspec and what came back for each of its entries."""
-    spec = stage(loadspecs.from_slowlog(given.slowlog_lines(spark, sf_dir)), "loadspec")
+    spec = loadspecs.from_slowlog(given.slowlog_lines(spark, sf_dir))
     came_back = given.attempts(spark, sf_dir).withColumnRenamed("id", "ord")
     return spec, came_back.join(spec.select("ord", "id"), "ord").drop("ord")
 
@@ -924,3 +924,24 @@ def stream_pseudonyms(spark, sf_dir):
         ),
     )
     return page_columns(batches.read_all(spark, folder + "/out"))
+
+
+@query(
+    "stream_json_pseudonyms",
+    f"""WITH {PAGES}
+    SELECT page_id AS _id, coalesce(replace(url, host, h.anon), url) AS url,
+           coalesce(replace(lang, lang, l.anon), lang) AS lang {SWAPPED}""",
+)
+def stream_json_pseudonyms(spark, sf_dir):
+    """Search hits as JSON text that keep arriving."""
+    folder = new_folder(spark, "pseudonyms")
+    pages = given.page_documents(spark, sf_dir)
+    given.replay(
+        pages.select("_id", F.to_json(F.struct(*pages.columns)).alias("body")),
+        "_id",
+        lambda hits_: stream_pseudonymise(
+            hits_, page_patterns(), ["_id"], folder + "/out", folder + "/map", folder + "/checkpoint", body="body"
+        ),
+    )
+    member = lambda path: F.get_json_object("body", path)
+    return batches.read_all(spark, folder + "/out").select("_id", member("$.url").alias("url"), member("$._source.lang").alias("lang"))

@@ -138,3 +138,18 @@ def test_synthetic_job(spark):
     spec = loadspecs.synthetic(spark, '{"q":1}', "http://h/_search", "const:5", 5).orderBy("id").collect()
     assert len(spec) == 26 and spec[1].delay_since_last_nanos == 200_000_000
     assert spec[0].url == "http://h/_search" and spec[25].source == '{"q":1}'
+
+
+def test_slices_and_what_a_job_leaves_behind(spark, tmp_path):
+    rows = [(i % 3 if i else None, i, json.dumps({"user": f"u{i}"})) for i in range(20)]
+    df = spark.createDataFrame(rows, "g long, n long, body string").repartition(3)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))
+    for offset, total in ((0, 5), (3, 1), (18, 5), (4, 0), (0, 0), (30, 2)):
+        got = readers.slice_documents(df, ["g", "n"], offset, total).collect()
+        expected = ordered[offset : offset + total] if total else ordered[offset:]
+        assert sorted(r.n for r in got) == sorted(r[1] for r in expected)
+    before = set(glob.glob(f"{session._own_dir(spark).removeprefix('file:')}/*"))
+    indexes.pseudonymise_index(df, ["user"], ["g", "n"], str(tmp_path / "out"), str(tmp_path / "map"), body="body", dictionary_format="json")
+    assert set(glob.glob(f"{session._own_dir(spark).removeprefix('file:')}/*")) == before
+    bodies = {json.loads(r.value)["user"] for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert bodies == {str(i) for i in range(20)}

@@ -120,3 +120,26 @@ def test_bodies(spark):
         arrivals.with_bodies(timed, "$RDICT", "u")
     with pytest.raises(ValueError):
         arrivals.with_bodies(timed, "$RDICT", "u", terms.limit(0))
+
+
+def test_two_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "BLOCKS_PER_GROUP", 3)
+    rows = [(k, i, (i * 7 + k) % 11) for k in (0, 1) for i in range(25)]
+    df = spark.createDataFrame(rows, "k long, _block long, v long")
+    sums = {(r.k, r._block): r.s for r in sequence.before_block(df, "v", "s", ["k"]).collect()}
+    most = {(r.k, r._block): r.m for r in sequence.before_block(df, "v", "m", ["k"], fold=F.max).collect()}
+    for k, i, _ in rows:
+        before = [v for a, b, v in rows if a == k and b < i]
+        assert sums[k, i] == sum(before) and most[k, i] == max(before, default=None)
+    unfolded = sequence.unfold(df.select("k").distinct(), F.lit(100), "p", ["k"], block_rows=4).collect()
+    assert sorted((r.k, r.p) for r in unfolded) == [(k, p) for k in (0, 1) for p in range(100)]
+    assert all(r._block == r.p // 4 for r in unfolded)
+
+
+def test_dictionary_positions_must_be_dense(spark):
+    requests = spark.range(10)
+    dense = spark.createDataFrame([(0, "a"), (1, "b")], "pos long, term string")
+    assert arrivals.sample_terms(requests, dense, 1).count() == 10
+    for gapped in ([(0, "a"), (2, "b")], [(1, "a")], [(0, "a"), (0, "b")]):
+        with pytest.raises(ValueError):
+            arrivals.sample_terms(requests, spark.createDataFrame(gapped, "pos long, term string"), 1)
