@@ -206,7 +206,8 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, key: str = "doc_
     """
     source = documents.select(documents[key].cast("bigint").alias("k"), documents[text].alias("text")).where("k is not null")
     sparse = stage(source.mapInArrow(_suffixes(least), "gram bigint, k bigint, pos int"), "suffixes")
-    again = sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # As a table of its own, so that adaptive execution can split a very common sequence in the join.
+    again = stage(sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
     left = sparse.join(again, "gram").groupBy("k").agg(F.collect_set("pos").alias("positions"))
     left = stage(left, "repeated-suffixes")
 
