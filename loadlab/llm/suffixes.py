@@ -3,9 +3,9 @@
 Suffixes are kept only at minimiser positions: in every run of ``least``
 words the ``GRAM``-word sequence with the smallest hash, so any passage of
 ``least`` words keeps the same suffix wherever it stands.  Suffixes whose first
-words occur once are dropped; the others get the words around them, are sorted over all documents,
-and each is compared with its neighbour: their common words are counted to the right and to
-the left, and ``least`` or more are a repeated passage.
+words occur once are dropped; the others get the words around them and are sorted over all documents, by
+the words that follow and once more by the words before.  Each is compared with
+its neighbour: their common words are counted to the right and to the left, and ``least`` or more are a repeated passage.
 
 A context of ``least`` words on both sides is enough: a longer passage has more
 suffixes, and what they find is merged.
@@ -82,8 +82,8 @@ def _contexts(least: int):
                 row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(positions.offsets)))
                 pos = positions.flatten().to_numpy()
                 at, stop = words.first[row] + pos, words.first[row + 1]
-                for i in range(0, len(at), 20_000):
-                    a, e, f = at[i : i + 20_000, None], stop[i : i + 20_000, None], words.first[row[i : i + 20_000], None]
+                for i in range(0, len(at), 4_000):
+                    a, e, f = at[i : i + 4_000, None], stop[i : i + 4_000, None], words.first[row[i : i + 4_000], None]
                     right = a + np.arange(least)
                     left = a - 1 - np.arange(least - 1)
                     right = short[np.where(right < e, right, len(short) - 1)].astype(">u4")
@@ -92,8 +92,8 @@ def _contexts(least: int):
                         [
                             pa.array([r.tobytes() for r in right], pa.binary()),
                             pa.array([x.tobytes() for x in left], pa.binary()),
-                            part.column("k").take(pa.array(row[i : i + 20_000])),
-                            pa.array(pos[i : i + 20_000]),
+                            part.column("k").take(pa.array(row[i : i + 4_000])),
+                            pa.array(pos[i : i + 4_000]),
                         ],
                         names=["right", "left", "k", "pos"],
                     )
@@ -194,6 +194,17 @@ def _neighbours(least: int, between: bool = False):
     return run
 
 
+def _compared(contexts: DataFrame, by: list[str], least: int) -> DataFrame:
+    """``k, start, stop, earlier`` of what neighbours in the order of ``by`` share."""
+    order = [*by, "k", "pos"]
+    ranged = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stage(ranged.mapInArrow(_neighbours(least), _FOUND), "neighbours")
+    edges = found.where("edge is not null").select("right", "left", "k", "pos", "edge")
+    # Two rows for each partition at most.
+    meeting = edges.repartition(1).sortWithinPartitions("edge").mapInArrow(_neighbours(least, between=True), _FOUND)
+    return found.unionByName(meeting).where("edge is null").select("k", "start", "stop", "earlier")
+
+
 def repeated_passages(documents: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, start_word, end_word, n_words, earlier``: the passages of each document that stand elsewhere too.
 
@@ -204,6 +215,8 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, key: str = "doc_
     one copy stays.  NULL, empty and shorter texts have none; rows with a NULL key are
     not searched; repeated rows repeat each other.  ``key`` is an integer.
     """
+    # Texts go to Python in small batches: with long ones, a batch by rows alone takes much memory.
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     source = documents.select(documents[key].cast("bigint").alias("k"), documents[text].alias("text")).where("k is not null")
     sparse = stage(source.mapInArrow(_suffixes(least), "gram bigint, k bigint, pos int"), "suffixes")
     # As a table of its own, so that adaptive execution can split a very common sequence in the join.
@@ -214,13 +227,9 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, key: str = "doc_
     bits = filter_bits(left, place_of("k"))
     near = source.select("k", place_of("k").alias("place"), "text").mapInArrow(in_filter(bits, ["k", "text"]), "k bigint, text string")
     contexts = left.join(near, "k").mapInArrow(_contexts(least), "right binary, left binary, k bigint, pos int")
-    order = ["right", "left", "k", "pos"]
-    ranged = stage(contexts, "contexts").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stage(ranged.mapInArrow(_neighbours(least), _FOUND), "neighbours")
-    edges = found.where("edge is not null").select("right", "left", "k", "pos", "edge")
-    # Two rows for each partition at most.
-    meeting = edges.repartition(1).sortWithinPartitions("edge").mapInArrow(_neighbours(least, between=True), _FOUND)
-    rows = found.unionByName(meeting).where("edge is null").select("k", "start", "stop", "earlier")
+    contexts = stage(contexts, "contexts")
+    # By what follows, then by what goes before: who shares a passage is next to it in one of the orders.
+    rows = _compared(contexts, ["right", "left"], least).unionByName(_compared(contexts, ["left", "right"], least))
 
     before = W.partitionBy("k").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     so_far = W.partitionBy("k").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)
