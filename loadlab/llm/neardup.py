@@ -3,8 +3,10 @@
 1. Every document's distinct word shingles give a sketch; equal sets are one class
    with the smallest key as its representative.
 2. Bands of register values put representatives into buckets.  Each is paired
-   with the smallest one of its bucket only; pairs whose registers make a similarity near
-   the threshold unlikely are dropped.  What hangs together is a family.
+   with the smallest one of its bucket; pairs whose registers make a similarity near
+   the threshold unlikely are dropped.  What hangs together is a family.  In buckets with several
+   families everyone outside the largest is compared with all of the other families, block by
+   block, and families so met are one.
 3. Within families links are confirmed on full sets, in chunks of a bounded number of
    members: likeliest pair first, leaving out what is connected already.  In
    families of several chunks the components then meet through their hubs, chunks of hubs again
@@ -12,7 +14,8 @@
    compared with all others, chunk by chunk.
 4. Components of the confirmed links.
 
-No group is ever in one task, and no list of a group's pairs is made.
+No group is ever in one task, and no list of a group's pairs is made.  Step 2 takes the square of
+a bucket's members only as far as they are in many families there.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loadlab.llm import setsketch
-from loadlab.llm.graph import components
+from loadlab.llm.graph import components, lowest
 from loadlab.llm.groups import per_group
 from loadlab.llm.membership import filter_bits, passing, place_of
 from loadlab.llm.words import distinct_per_row, lowered, shingles, slices, split_words
@@ -32,6 +35,8 @@ from loadlab.session import stage
 
 ROWS_PER_BAND = 6
 CHUNK = 128
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 512
 #: Pairs with a likelihood estimate this far below the threshold are not looked at:
 #: about four standard deviations of the estimate, six for families.
 SURELY_BELOW = 0.10
@@ -165,7 +170,7 @@ def _links_table(links: list) -> pa.Table:
 
 
 def _near_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: each representative with the smallest one of every bucket it is in, if the estimate allows."""
+    """``a, b``: links that connect all who share a bucket and whose estimate is near the threshold."""
     bytes_per_band = 2 * ROWS_PER_BAND
     bands = setsketch.REGISTERS // ROWS_PER_BAND
     keys = [
@@ -173,13 +178,79 @@ def _near_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     ]
     rows = reps.select("k", F.explode(F.array(*keys)).alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("k").alias("a"), F.max("k").alias("_last")).where("a < _last").select("bucket", "a")
-    pairs = stage(rows.join(buckets, "bucket").where("k > a").select("a", F.col("k").alias("b")).distinct(), "star-pairs")
+    members = stage(rows.join(buckets, "bucket").select("bucket", "a", "k"), "bucket-members")
+    pairs = stage(members.where("k > a").select("a", F.col("k").alias("b")).distinct(), "star-pairs")
     one = reps.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     two = reps.select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     percent = round(100 * threshold)
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     both = pairs.join(one, "b").join(two, "a").where(sized)
-    return stage(both.mapInArrow(_likely(threshold - FAMILY_BELOW), "a bigint, b bigint"), "near-pairs")
+    near = stage(both.mapInArrow(_likely(threshold - FAMILY_BELOW), "a bigint, b bigint"), "near-pairs")
+    return near.unionByName(_across(members, near, reps, threshold))
+
+
+def _across(members: DataFrame, near: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links between members of a bucket whom ``near`` leaves in different families."""
+    families = components(near).select(F.col("id").alias("k"), "component_id")
+    of = members.join(families, "k", "left").select("bucket", "k", F.coalesce("component_id", "k").alias("family"))
+    of = stage(of, "bucket-families")
+    sizes = of.groupBy("bucket", "family").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.max_by("family", F.struct("size", "family")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("n")
+    )
+    # Two alone have been compared already.
+    mixed = mixed.where("n > 2 and most < n").select(
+        "bucket", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"),
+        F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("parts"),
+    )
+    # As a table of its own, so that adaptive execution can split a bucket with very many members in the join.
+    mixed = stage(mixed, "mixed-buckets")
+    inside = of.join(mixed, "bucket").withColumn("large", F.col("family") == F.col("largest"))
+    place = F.pmod(F.xxhash64(F.lit(2), "k"), F.lit(1 << 20))
+    columns = ["bucket", "k", "family", "large"]
+    asking = inside.where("not large").select(
+        *columns, (place % F.col("parts")).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"),
+    )
+    asked = inside.select(
+        *columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (place % F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(False).alias("asks"),
+    )
+    both = asking.unionByName(asked).join(reps.select("k", "n", "sketch"), "k")
+    compared = per_group(both, ["bucket", "part", "chunk"], _meeting(threshold), "a bigint, b bigint")
+    return stage(compared, "met-pairs")
+
+
+def _meeting(threshold: float):
+    """Links between those who ask and those asked, of different families; each two meet once."""
+    percent = round(100 * threshold)
+
+    def work(table: pa.Table) -> pa.Table | None:
+        asks = table["asks"].to_numpy()
+        k, family, large = (table[c].to_numpy() for c in ("k", "family", "large"))
+        n, sketch = table["n"].to_numpy(), _matrix(table["sketch"])
+        others = np.flatnonzero(~asks)
+        left, right = [], []
+        for i in np.flatnonzero(asks).tolist():
+            j = others[(family[others] != family[i]) & (large[others] | (k[others] > k[i]))]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= (threshold - 2 * SURELY_BELOW) * setsketch.REGISTERS]
+            left.append(np.full(len(j), i))
+            right.append(j)
+        if not sum(map(len, right)):
+            return None
+        a, b = np.concatenate(left), np.concatenate(right)
+        near = []
+        for at in range(0, len(a), 1 << 14):
+            x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+            near.append(setsketch.similarity(sketch[x], sketch[y], n[x].astype(float), n[y].astype(float)) >= threshold - SURELY_BELOW)
+        near = np.concatenate(near)
+        ids, at = np.unique(np.concatenate([k[a[near]], k[b[near]]]), return_inverse=True)
+        low = lowest(at[: len(at) // 2], at[len(at) // 2 :], len(ids))
+        moved = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.table({"a": ids[low[moved]], "b": ids[moved]})
+
+    return work
 
 
 def _family_sets(documents: DataFrame, members: DataFrame, width: int) -> DataFrame:

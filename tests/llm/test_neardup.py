@@ -39,6 +39,19 @@ def test_large_family_in_small_chunks(spark):
         assert got(df, width=2, chunk=chunk) == brute(docs, 2)
 
 
+def test_pairs_among_strangers(spark):
+    """2,000 documents at about 0.5; planted pairs at 0.85 share every bucket with smaller strangers."""
+    draw = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(600)]
+    docs = [(i, draw.sample(vocabulary, 400)) for i in range(2000)]
+    for i in range(2000, 2080, 2):
+        words = draw.sample(vocabulary, 432)
+        docs += [(i, words[:400]), (i + 1, words[32:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    found = got(df.repartition(4), width=1)
+    assert {i: c for i, (_, c) in found.items()} == {i: i - 1 if i > 2000 and i % 2 else i for i, _ in docs}
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (5, "x" * 2_000_000), (6, "b " * 200_000)]
     result = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
