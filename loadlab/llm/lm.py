@@ -1,13 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
-A bigram model of the target texts and one of the background share one hashed
+A bigram model of the target texts and one of the background share one
 vocabulary, the same smoothing and, by scaling the background's counts, the
 same number of tokens.  A document's score is the mean over its tokens of
 the target's loss less the background's: the lower, the more like the target.
 
-Counts are taken over all texts.  A task adds them up in tables of
-``1 << WORD_BITS`` words and ``1 << PAIR_BITS`` word pairs and sends them in blocks; blocks are
-summed by key.  The model is of a fixed size, whatever the corpus.
+Counts are taken over all texts and grow with them: a row for every different pair, known by
+a hash of 64 bits.  Each pair gets its losses once.  Those of the most frequent pairs, ``HEAD`` at
+most, are sent to the documents; documents' other pairs are joined with theirs.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab.llm.words import Words, lowered, mix, slices, split_words
+from loadlab.session import stage
 
+#: Smoothing takes the vocabulary for ``1 << WORD_BITS`` words.
 WORD_BITS = 20
-PAIR_BITS = 21
-_BLOCK = 1 << 13
+#: Pairs sent to all executors, with their losses 24 MB.  The others are joined: results do not depend on it.
+HEAD = 1 << 20
+#: Tokens a task holds before it hands their counts on.
+_AT_ONCE = 1 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -36,27 +40,12 @@ class Smoothing:
     pairs: float = 20.0
 
 
-@dataclass(frozen=True)
-class Counts:
-    word: np.ndarray
-    pair: np.ndarray
-
-    @property
-    def tokens(self) -> float:
-        return float(self.word.sum())
-
-
-def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token the places of its word, of the word before it (-1 at the start) and of the pair."""
+def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token the word before it (``_START`` for none) and the pair."""
     before = np.empty_like(words.hash)
     before[1:] = words.hash[:-1]
-    starts = words.first[:-1][np.diff(words.first) > 0]
-    before[starts] = _START
-    word = (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    history = (before >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    history[starts] = -1
-    pair = (mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words.hash) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return word, history, pair
+    before[words.first[:-1][np.diff(words.first) > 0]] = _START
+    return before, mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) ^ words.hash)
 
 
 def _split(column: pa.Array) -> Words:
@@ -64,50 +53,64 @@ def _split(column: pa.Array) -> Words:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), dtype=np.int64)
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        pair, before, word = np.concatenate(held, axis=1)
+        ids, at, n = np.unique(pair, return_index=True, return_counts=True)
+        columns = [pa.array(x.view(np.int64)) for x in (ids, before[at], word[at])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["pair", "before", "word", "n"])
+
     for batch in batches:
         for part in slices(batch, "text"):
-            word, _, pair = _places(_split(part.column("text")))
-            table[: 1 << WORD_BITS] += np.bincount(word, minlength=1 << WORD_BITS)
-            table[1 << WORD_BITS :] += np.bincount(pair, minlength=1 << PAIR_BITS)
-    blocks = table.reshape(-1, _BLOCK)
-    filled = np.flatnonzero(blocks.any(axis=1))
-    for at in np.array_split(filled, max(1, len(filled) // 64)):
-        # By size of byte: what is small compresses to little on its way.
-        rows = [blocks[i].view(np.uint8).reshape(-1, 8).T.tobytes() for i in at]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows, pa.binary())], names=["block", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            one = np.frombuffer(counts.as_buffer(), dtype=np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
-            sums[block] = sums[block] + one if block in sums else one
-    for block, total in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "counts"]
-        )
-
-
-def count(texts: DataFrame, text: str = "text") -> Counts:
-    """Counts of all words and pairs of all rows."""
-    blocks = texts.select(texts[text].alias("text")).mapInArrow(_count, "block bigint, counts binary")
-    summed = blocks.repartition("block").mapInArrow(_add, "block bigint, counts binary").toArrow()
-    table = np.zeros(((1 << WORD_BITS) + (1 << PAIR_BITS)) // _BLOCK * _BLOCK, dtype=np.float32).reshape(-1, _BLOCK)
-    for block, counts in zip(summed["block"].to_pylist(), summed["counts"].to_pylist()):
-        table[block] = np.frombuffer(counts, dtype=np.float32)
-    flat = table.reshape(-1)
-    return Counts(flat[: 1 << WORD_BITS], flat[1 << WORD_BITS :])
-
-
-def _losses(counts: Counts, scale: float, smoothing: Smoothing, word, history, pair) -> np.ndarray:
-    """Loss of each token in nats."""
-    total = counts.tokens * scale + smoothing.words * len(counts.word)
-    alone = (counts.word[word] * scale + smoothing.words) / total
-    seen = np.where(history >= 0, counts.word[history], 0) * scale
-    both = np.minimum(counts.pair[pair] * scale, seen)
-    return -np.log((both + smoothing.pairs * alone) / (seen + smoothing.pairs))
+            words = _split(part.column("text"))
+            before, pair = _pairs(words)
+            held.append(np.stack([pair, before, words.hash]))
+            if sum(h.shape[1] for h in held) >= _AT_ONCE:
+                yield counted()
+                held.clear()
+    if held:
+        yield counted()
+
+
+def count(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``pair, before, word, n``, partial counts of all pairs of all rows."""
+    return texts.select(texts[text].alias("text")).mapInArrow(_count, "pair bigint, before bigint, word bigint, n bigint")
+
+
+def _losses(pairs: DataFrame, smoothing: Smoothing) -> DataFrame:
+    """``pair, n, target, background``: the loss in nats of each pair's word, and how often both have the pair."""
+    words = stage(pairs.groupBy("word").agg(F.sum("t").alias("word_t"), F.sum("b").alias("word_b")), "word-counts")
+    of_target, of_background = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("word_t", "word_b")]).first()
+    scale = of_target / of_background if of_target and of_background else 1.0
+
+    def loss(word: Column, history: Column, pair: Column, tokens: int, by: float) -> Column:
+        alone = (word * by + smoothing.words) / (tokens * by + smoothing.words * (1 << WORD_BITS))
+        seen = F.coalesce(history, F.lit(0)) * by
+        # A text's first word has no history.
+        both = F.when(history.isNotNull(), pair * by).otherwise(0.0)
+        return -F.log((both + smoothing.pairs * alone) / (seen + smoothing.pairs))
+
+    history = words.select(F.col("word").alias("before"), F.col("word_t").alias("seen_t"), F.col("word_b").alias("seen_b"))
+    full = pairs.join(words, "word").join(history, "before", "left")
+    return full.select(
+        "pair", (F.col("t") + F.col("b")).alias("n"),
+        loss(F.col("word_t"), F.col("seen_t"), F.col("t"), of_target, 1.0).alias("target"),
+        loss(F.col("word_b"), F.col("seen_b"), F.col("b"), of_background, scale).alias("background"),
+    )
+
+
+def _head(losses: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent pairs, by steps of a quarter of a power of two, and the others if there are any."""
+    level = F.floor(4 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+    sizes = losses.groupBy(level.alias("level")).agg(F.count("*").alias("pairs")).collect()
+    least, total = 1 << 20, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        total += r.pairs
+        if total > HEAD:
+            return losses.where(level >= least), losses.where(level < least).select("pair", "target", "background")
+        least = r.level
+    return losses, None
 
 
 def cross_entropy_difference(
@@ -125,27 +128,52 @@ def cross_entropy_difference(
     without words, NULL ones too, have 0 tokens and NULL losses.  Repeated rows count as often as
     they are there.  An empty target or background leaves the uniform distribution.
     """
-    of_target = count(target, target_text)
-    of_background = count(documents if background is None else background, text)
-    scale = of_target.tokens / of_background.tokens if of_target.tokens and of_background.tokens else 1.0
+    nothing, n = F.lit(0).cast("bigint"), F.col("n")
+    same = ["pair", "before", "word"]
+    parts = count(target, target_text).select(*same, n.alias("t"), nothing.alias("b"))
+    parts = parts.unionByName(count(documents if background is None else background, text).select(*same, nothing.alias("t"), n.alias("b")))
+    if background is not None:  # every pair of the documents has its losses
+        parts = parts.unionByName(count(documents, text).select(*same, nothing.alias("t"), nothing.alias("b")))
+    pairs = stage(parts.groupBy(*same).agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pair-counts")
+    losses = stage(_losses(pairs, smoothing), "pair-losses")
+    head, tail = _head(losses)
+    table = head.select("pair", "target", "background").toArrow()
+    order = np.argsort(table["pair"].to_numpy())
+    known = [table[c].to_numpy()[order] for c in ("pair", "target", "background")]
+    sent = documents.sparkSession.sparkContext.broadcast(known)
+    whole = tail is None
     source = documents.select(documents[key].alias("k"), documents[text].alias("text"))
-    parts = (of_target.word, of_target.pair, of_background.word, of_background.pair)
-    sent = documents.sparkSession.sparkContext.broadcast(parts)
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, b = Counts(*sent.value[:2]), Counts(*sent.value[2:])
+        """A row for each document with its tokens and what the known pairs add up to, and one for each other pair."""
+        pairs, *values = sent.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = _split(part.column("text"))
-                places = _places(words)
-                n = np.diff(words.first)
-                row, empty = words.row, n == 0
-                sums = [np.bincount(row, _losses(m, s, smoothing, *places), minlength=len(n)) for m, s in ((t, 1.0), (b, scale))]
-                means = [s / np.maximum(n, 1) for s in sums]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(n), *[pa.array(m, mask=empty) for m in (*means, means[0] - means[1])]],
-                    names=[key, "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return source.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+                pair, row, n = _pairs(words)[1].view(np.int64), words.row, np.diff(words.first)
+                at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+                here = pairs[at] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
+                sums = [np.bincount(row[here], v[at[here]], minlength=len(n)).astype(float) for v in values]
+                first = [part.column("rid"), part.column("k"), pa.array(n), *map(pa.array, sums)]
+                # A document's own row has no pair; a hash of its number spreads it in the join.
+                first.append(pa.array(mix(first[0].to_numpy().astype(np.uint64)).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(first, names=names)
+                if whole:
+                    continue
+                others = pa.array(row[~here])
+                none = [pa.nulls(len(others), c.type) for c in first[1:5]]
+                yield pa.RecordBatch.from_arrays([part.column("rid").take(others), *none, pa.array(pair[~here])], names=names)
+
+    names = ["rid", "k", "n", "t", "b", "pair"]
+    numbered = source.select(F.monotonically_increasing_id().alias("rid"), "k", "text")
+    rows = numbered.mapInArrow(run, f"rid bigint, k {kind}, n bigint, t double, b double, pair bigint")
+    if not whole:
+        met = rows.join(tail, (rows["pair"] == tail["pair"]) & rows["n"].isNull(), "left")
+        added = [F.sum(F.coalesce(rows[c], tail[of])).alias(c) for c, of in (("t", "target"), ("b", "background"))]
+        rows = met.groupBy("rid").agg(F.first("k", ignorenulls=True).alias("k"), F.max("n").alias("n"), *added)
+    means = rows.select("k", "n", *[F.when(F.col("n") > 0, F.col(c) / F.col("n")).alias(c) for c in ("t", "b")])
+    return means.select(
+        F.col("k").alias(key), F.col("n").alias("n_tokens"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"),
+        (F.col("t") - F.col("b")).alias("score"),
+    )

@@ -71,3 +71,40 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert lm.cross_entropy_difference(df.limit(0), df).count() == 0
     assert lm.cross_entropy_difference(df, df.limit(0)).first().n_tokens == 2
+
+
+def test_more_pairs_than_a_fixed_table(spark, monkeypatch):
+    """Some 2.4 million different pairs, scored as by plain dictionaries, whether all are sent or most are joined."""
+    draw = random.Random(8)
+    new = lambda n: [f"w{draw.randrange(200_000)}" for _ in range(n)]
+    docs = [(i, " ".join(new(2_000))) for i in range(1_000)] + [(1_000, None), (None, "w1 w2")]
+    target = [(" ".join(new(2_000)),) for _ in range(200)] + [(docs[7][1],)]
+    t, b = model(x[0] for x in target), model(x[1] for x in docs)
+    scale = sum(t[0].values()) / sum(b[0].values())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    texts = dict(docs)
+    for head in (1 << 20, 1 << 22):
+        monkeypatch.setattr(lm, "HEAD", head, raising=False)
+        got = lm.cross_entropy_difference(df, spark.createDataFrame(target, "text string")).collect()
+        assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, texts))
+        for r in got:
+            w = words(texts[r.doc_id])
+            assert r.n_tokens == len(w)
+            if w:
+                assert abs(r.target_loss - loss(t, 1.0, w)) < 1e-6 and abs(r.background_loss - loss(b, scale, w)) < 1e-6
+            else:
+                assert r.score is None
+
+
+def test_other_background(spark):
+    docs = [(1, "a b c"), (2, "x y z"), (3, "a b x")]
+    target, background = [("a b c a b",)], [("a b x a",), ("c c",)]
+    got = lm.cross_entropy_difference(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(target, "text string"),
+        spark.createDataFrame(background, "text string"),
+    ).collect()
+    t, b = model(x[0] for x in target), model(x[0] for x in background)
+    for r in got:
+        w = words(dict(docs)[r.doc_id])
+        assert abs(r.target_loss - loss(t, 1.0, w)) < 1e-6 and abs(r.background_loss - loss(b, 5 / 6, w)) < 1e-6
