@@ -51,14 +51,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{below}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the store, if it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application staged; results read from it are gone as well."""
-    _delete(spark, _own_dir(spark))
+    drop_folder(spark, _own_dir(spark))
 
 
 @contextmanager
@@ -68,7 +69,7 @@ def staged_here(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _delete(spark, _scopes.pop())
+        drop_folder(spark, _scopes.pop())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
