@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlab.llm import compact, containment, embeddings, lm, mixing, neardup, packing, pii, suffixes, toxicity
+from loadlab.llm import centroids, codes, compact, containment, embeddings, lm, mixing, neardup, packing, pii, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,94 @@ def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(documents, model)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def means_sql(assigned: str, book: str) -> str:
+    """Codebook ``book`` (p, e, v) with each entry that owns vectors of ``assigned`` (p, e, v) moved to their mean, rounded down."""
+    return f"""
+  SELECT p, e, coalesce(moved, v) AS v FROM {book} LEFT JOIN (
+    SELECT p, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY pos) AS moved FROM (
+      SELECT p, e, pos, sum(v[pos]) AS s, count(*) AS n FROM {assigned}, unnest(range(1, len(v) + 1)) AS t(pos) GROUP BY p, e, pos)
+    GROUP BY p, e) USING (p, e)"""
+
+
+def nearest_sql(vectors: str, book: str) -> str:
+    """``r, p, v`` of ``vectors`` with the nearest entry ``e`` of ``book`` and its squared distance ``d``."""
+    return f"""
+  SELECT r, p, v, m % 256 AS e, m // 256 AS d FROM (
+    SELECT r, p, any_value(a.v) AS v, min(256 * CAST(
+      list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v) AS BIGINT) + e) AS m
+    FROM {vectors} AS a JOIN {book} AS b USING (p) GROUP BY r, p)"""
+
+
+def rounds_sql(vectors: str, rounds: int) -> str:
+    """Books ``b0`` (given) to ``b<rounds>`` and assignments ``a0`` to ``a<rounds>``."""
+    steps = [f"a0 AS MATERIALIZED ({nearest_sql(vectors, 'b0')})"]
+    for i in range(1, rounds + 1):
+        steps.append(f"b{i} AS MATERIALIZED ({means_sql(f'a{i - 1}', f'b{i - 1}')})")
+        steps.append(f"a{i} AS MATERIALIZED ({nearest_sql(vectors, f'b{i}')})")
+    return ",\n".join(steps)
+
+
+SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE {SOUND}),
+vectors AS MATERIALIZED (
+  SELECT r, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS v FROM kept, unnest(range(4)) AS t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, v FROM vectors JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256) USING (r)),
+{rounds_sql("vectors", 4)},
+digest AS (
+  SELECT sha256(string_agg(CAST(CAST(v[pos] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, pos)) AS codebooks_sha256
+  FROM b4, unnest(range(1, len(v) + 1)) AS t(pos)),
+coded AS (
+  SELECT vec_id, label, code, error FROM kept JOIN (
+    SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r) USING (r))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+
+
+@query("op11_vector_codes", OP11)
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+OP12 = """
+WITH h AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS s,
+         first_value(page_id) OVER w AS first, row_number() OVER w AS n
+  FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id)),
+d AS (SELECT DISTINCT s, list_aggregate(list_transform(range(8), lambda i: to_base(CAST('0x' || substr(s, 5 * i + 1, 5) AS BIGINT), 32, 4)), 'string_agg', '') AS b FROM h)
+SELECT page_id, payload_bytes, translate(b, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
+FROM h JOIN d USING (s)
+"""
+
+
+@query("op12_archive_pages", OP12)
+def op12_archive_pages(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+OP13 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, 0 AS p, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE {SOUND} AND len(embedding) = 64),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS e, v FROM kept QUALIFY e < 16),
+{rounds_sql("kept", 3)},
+digest AS (
+  SELECT e, sha256(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM b3)
+SELECT vec_id, CAST(e AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY e) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN (SELECT r, vec_id FROM kept) USING (r) JOIN digest USING (e)
+"""
+
+
+@query("op13_centroid_clusters", OP13)
+def op13_centroid_clusters(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
