@@ -50,12 +50,20 @@ def json_occurrences(df: DataFrame, order: list[str], patterns: dict[str, str],
     return _occurrences(df.select(*order, listed.alias("_members")), order, patterns)
 
 
-def fresh_keys(found: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
+def ids_used(known: DataFrame) -> DataFrame:
+    """``field, used``: where new ids of a field start, the number of its keys or above the largest id."""
+    return known.groupBy("field").agg(F.greatest(F.count("*"), F.max(F.col("anon").try_cast("bigint")) + 1).alias("used"))
+
+
+def fresh_keys(
+    found: DataFrame, order: list[str], known: DataFrame | None = None, used: DataFrame | None = None
+) -> DataFrame:
     """``field, key, anon`` of the keys that the known dictionary does not have.
 
     They count up from the number of known keys of their field, or from above
     the largest known id if those are not dense, in the order in which they
-    first occur.
+    first occur.  With ``used``, known by other means (:func:`ids_used`, a row per field),
+    ``known`` need only hold the keys that occur.
     """
     keys = found.groupBy("field", "key").agg(F.min(F.struct(*order, "place")).alias("_first"))
     if known is not None:
@@ -63,11 +71,10 @@ def fresh_keys(found: DataFrame, order: list[str], known: DataFrame | None = Non
     numbered = in_order(keys, ["field", "_first"], position="_n")
     # One row per field option.
     starts = numbered.groupBy("field").agg(F.min("_n").alias("_start"))
-    if known is not None:
-        used = known.groupBy("field").agg(
-            F.greatest(F.count("*"), F.max(F.col("anon").try_cast("bigint")) + 1).alias("_used")
-        )
-        starts = starts.join(used, "field", "left")
+    if used is None and known is not None:
+        used = ids_used(known)
+    if used is not None:
+        starts = starts.join(used.select("field", F.col("used").alias("_used")), "field", "left")
     else:
         starts = starts.withColumn("_used", F.lit(0))
     return numbered.join(F.broadcast(starts), "field").select(

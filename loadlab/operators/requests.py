@@ -73,10 +73,10 @@ def fail_on_reject(parsed: DataFrame, line: str = "value") -> DataFrame:
     return parsed.withColumn("reason", checked)
 
 
-def override_index(requests: DataFrame, indexes: list[str], input_order: list[str] = ("ord",)) -> DataFrame:
-    """The k-th request in input order goes to ``indexes[k % n]``."""
+def override_index(requests: DataFrame, indexes: list[str], input_order: list[str] = ("ord",), first: int = 0) -> DataFrame:
+    """The k-th request in input order goes to ``indexes[k % n]``; ``first`` is the k of the first one here."""
     numbered = in_order(requests, list(input_order), position="_kept")
-    choice = F.element_at(F.array(*[F.lit(i) for i in indexes]), (F.col("_kept") % len(indexes) + 1).cast("int"))
+    choice = F.element_at(F.array(*[F.lit(i) for i in indexes]), ((F.col("_kept") + first) % len(indexes) + 1).cast("int"))
     return numbered.withColumn("index", choice).drop("_kept")
 
 

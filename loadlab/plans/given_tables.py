@@ -6,7 +6,7 @@ renders them from ``events`` and ``orders``: row by row, nothing left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlab.functions.outcomes import retry_after_millis
 from loadlab.operators.sequence import in_order
@@ -111,15 +111,18 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replay(df: DataFrame, by: str, start, arrivals: int = 3) -> None:
+def replay(df: DataFrame, by: str, start, arrivals: int = 3, delayed: Column | None = None) -> None:
     """Let all of ``df`` arrive in the order of ``by``, and run a stream over each arrival.
 
     ``start(stream)`` starts a query that ends when it has read all files there
-    are; every arrival resumes it from its checkpoint.
+    are; every arrival resumes it from its checkpoint.  Rows that are ``delayed`` come with the next arrival.
     """
     spark, folder = df.sparkSession, new_folder(df.sparkSession, "arriving")
     low, high = df.agg(F.min(by), F.max(by)).first()
-    part = F.least(F.floor((F.col(by) - low) * arrivals / (high - low + 1)), F.lit(arrivals - 1))
+    part = F.floor((F.col(by) - low) * arrivals / (high - low + 1))
+    if delayed is not None:
+        part = part + delayed.cast("int")
+    part = F.least(part, F.lit(arrivals - 1))
     for number in range(arrivals):
         df.where(part == number).write.mode("append").parquet(folder)
         start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()

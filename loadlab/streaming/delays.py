@@ -7,9 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loadlab.operators.sequence import in_order
 from loadlab.session import stage
-from loadlab.streaming.batches import read_from, write_batch
-
-FULL_EVERY = 16
+from loadlab.streaming.batches import fold, read_before, write_batch
 
 
 def batch_delays(rows: DataFrame, key: str, time: str, tie_break: list[str], last_seen: DataFrame | None) -> DataFrame:
@@ -43,22 +41,21 @@ def stream_delays(
 ) -> StreamingQuery:
     """Write rows with their delay to ``out``; the last time per key goes to ``state``.
 
-    A batch writes the keys it has seen; every ``FULL_EVERY`` batches all keys
-    are written, and only batches from there on are read.
+    A batch writes the keys it has seen; now and then all keys are folded into one table.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = f"`{key}` {kinds[key]}, last {kinds[time]}"
 
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max("last").alias("last"))
+
     def process(rows: DataFrame, batch_id: int) -> None:
-        known = read_from(rows.sparkSession, state, (batch_id - 1) // FULL_EVERY * FULL_EVERY, batch_id, schema) if batch_id else None
-        if known is not None:
-            known = known.groupBy(key).agg(F.max("last").alias("last"))
+        spark = rows.sparkSession
         arrived = stage(rows, "arrived")
+        known = latest(read_before(spark, state, batch_id, schema)) if batch_id else None
         write_batch(batch_delays(arrived, key, time, tie_break, known), out, batch_id)
-        newest = arrived.select(key, F.col(time).alias("last"))
-        full = known is not None and batch_id % FULL_EVERY == 0
-        seen = newest.unionByName(known) if full else newest
-        write_batch(seen.groupBy(key).agg(F.max("last").alias("last")), state, batch_id)
+        write_batch(latest(arrived.select(key, F.col(time).alias("last"))), state, batch_id)
+        fold(spark, state, batch_id, schema, latest)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

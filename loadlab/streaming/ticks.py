@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.operators.reports import APPROX_ACCURACY, carried, gap_free
+from loadlab.operators import sketches
+from loadlab.operators.reports import carried, gap_free
 from loadlab.operators.sequence import BLOCK_ROWS, running_total
 
 DEFAULT_WATERMARK = "10 seconds"
@@ -34,15 +35,36 @@ def histogram_ticks(
     watermark: str = DEFAULT_WATERMARK,
     approx: bool = False,
 ) -> DataFrame:
-    """``ts, count, p50, p90, p99, p999`` of each tick."""
-    quantiles = list(fixed.QUANTILES)
-    digest = F.percentile_approx(value, quantiles, APPROX_ACCURACY) if approx else F.percentile(value, quantiles)
-    ticks = _windows(rows, time, interval, watermark).agg(F.count("*").alias("count"), digest.alias("_q"))
+    """``ts, count, p50, p90, p99, p999`` of each tick; a NULL value is no sample, but its tick is there.
+
+    Exact quantiles keep a tick's distinct values as state; ``approx`` keeps a sketch of
+    bounded size (:mod:`loadlab.operators.sketches`), for whole-number values.
+    """
+    if approx:
+        sketched = sketch_ticks(rows, value, interval, time, watermark)
+        found = sketches.quantiles(sketched)
+        return found.select("ts", "count", *[F.col(n).cast("double").alias(n) for n in fixed.QUANTILE_NAMES])
+    digest = F.percentile(value, list(fixed.QUANTILES))
+    ticks = _windows(rows, time, interval, watermark).agg(F.count(value).alias("count"), digest.alias("_q"))
     return ticks.select(
         _tick(), "count", *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(fixed.QUANTILE_NAMES)]
     )
 
 
+def sketch_ticks(
+    rows: DataFrame,
+    value: str,
+    interval: int = fixed.DEFAULT_INTERVAL_SECONDS,
+    time: str = "time",
+    watermark: str = DEFAULT_WATERMARK,
+    size: int = sketches.SIZE,
+) -> DataFrame:
+    """``ts, count, sketch`` of each tick: stored, they merge to longer ones (:func:`loadlab.operators.sketches.merged`)."""
+    whole = F.col(value).cast("bigint")
+    ticks = _windows(rows, time, interval, watermark).agg(F.count(whole).alias("count"), sketches.sketch(whole, size).alias("sketch"))
+    return ticks.select(_tick(), "count", "sketch")
+
+
 def counter_ticks(
     rows: DataFrame,
     condition: Column,

@@ -8,16 +8,19 @@ expected rows straight from the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import documents, outcomes
-from loadlab.operators import arrivals, attribution, cooldown, hits, nodes, pseudonyms, reports, requests, sequence
+from loadlab.operators import (
+    arrivals, attribution, cooldown, hits, inverted, nodes, pseudonyms, reports, requests, sequence, sketches
+)
 from loadlab.plans import given_tables as given, indexes, loadspecs, reports as reports_job
 from loadlab.sources import readers, writers
 from loadlab.session import new_folder, prepare, stage
-from loadlab.streaming import batches, delays, slowlog as slowlog_stream, ticks
+from loadlab.streaming import batches, delays, late, loadspec as loadspec_stream, ordered, slowlog as slowlog_stream, ticks
 from loadlab.streaming.pseudonyms import stream_pseudonymise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +260,16 @@ def heaviest_terms(spark, sf_dir):
     return hits.heaviest(counted, 20)
 
 
+@query("indexed_hits", f'WITH {MATCH} SELECT pos, "Term", "Count" FROM hits')
+def indexed_hits(spark, sf_dir):
+    """Answered by an index that is written in two parts, the second one when more documents come."""
+    folder = new_folder(spark, "index")
+    docs = given.documents(spark, sf_dir)
+    for part in range(2):
+        inverted.write_index(docs.where(F.pmod("doc_id", F.lit(2)) == part), folder, part=part)
+    return hits.indexed_hits(inverted.read_index(spark, folder), given.dictionary(spark, sf_dir))
+
+
 # --- reports ----------------------------------------------------------------
 
 ATTEMPTS = """
@@ -303,6 +316,43 @@ def latency_report(spark, sf_dir):
     return rounded(reports.response_time_report(given.attempts(spark, sf_dir), TICK))
 
 
+def rollup_sql(rows: str, levels: str) -> str:
+    """Quantiles of stored ticks: exact up to the size of a sketch, and none with a rank farther off than it may be."""
+    few = f"count(v) BETWEEN 1 AND {sketches.SIZE}"
+    exact = ", ".join(
+        f"CASE WHEN {few} THEN quantile_disc(v, {q}) END AS {name}" for q, name in zip(fixed.QUANTILES, fixed.QUANTILE_NAMES)
+    )
+    return f"""WITH {rows}, levels AS ({levels})
+    SELECT level, ts, count(v) AS "count", count(v) <= {sketches.SIZE} AS exact, {exact}, CAST(0 AS BIGINT) AS outside
+    FROM levels GROUP BY level, ts"""
+
+
+def rolled_up(levels: dict[str, tuple[DataFrame, int]], rows: DataFrame, value) -> DataFrame:
+    parts = []
+    for level, (ticked, interval) in levels.items():
+        wrong = sketches.outside(ticked, rows, value, interval)
+        found = sketches.quantiles(ticked).join(wrong, "ts", "left")
+        shown = [F.when(F.col("exact"), F.col(q)).alias(q) for q in fixed.QUANTILE_NAMES]
+        outside = F.coalesce("outside", F.lit(0)).alias("outside")
+        parts.append(found.select(F.lit(level).alias("level"), "ts", "count", "exact", *shown, outside))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "latency_rollup",
+    rollup_sql(
+        ATTEMPTS,
+        """SELECT 'tick' AS level, tick AS ts, CASE WHEN code = 200 THEN took END AS v FROM judged
+           UNION ALL SELECT 'day', (ts // 86400 + 1) * 86400, CASE WHEN code = 200 THEN took END FROM judged""",
+    ),
+)
+def latency_rollup(spark, sf_dir):
+    """Ticks stored as sketches, merged to days."""
+    attempts, took = given.attempts(spark, sf_dir), F.when(F.col("code") == 200, F.col("took_in_millis"))
+    stored = stage(sketches.tick_sketches(attempts, took, TICK), "stored-ticks")
+    return rolled_up({"tick": (stored, TICK), "day": (sketches.merged(stored, 86_400), 86_400)}, attempts, took)
+
+
 @query("pause_report", histogram_sql("pause", "outcome = 'throttled'"))
 def pause_report(spark, sf_dir):
     return rounded(reports.pause_report(given.attempts(spark, sf_dir), TICK))
@@ -840,6 +890,69 @@ def stream_latency(spark, sf_dir):
     return rounded(ticks.histogram_so_far(ticked, 3600))
 
 
+@query(
+    "stream_rollup",
+    rollup_sql(
+        HOURS,
+        """SELECT 'hour' AS level, tick AS ts, CAST(floor(value) AS BIGINT) AS v FROM hours
+           UNION ALL SELECT 'day', (epoch_us(ts) // 86400000000 + 1) * 86400, CAST(floor(value) AS BIGINT) FROM hours""",
+    ),
+)
+def stream_rollup(spark, sf_dir):
+    """Hours sketched on a stream, merged to days."""
+    rows = timed_events(spark, sf_dir)
+    hours = updated(spark, rows, "us", lambda rows: ticks.sketch_ticks(rows, "took_in_millis", 3600, watermark="10 minutes"))
+    stored = stage(hours, "stored-hours")
+    seen = rows.withColumn("ts", F.expr("us div 1000000"))
+    return rolled_up({"hour": (stored, 3600), "day": (sketches.merged(stored, 86_400), 86_400)}, seen, F.col("took_in_millis"))
+
+
+ARRIVALS = """
+seconds AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS ts, event_id % 20 = 0 AS delayed FROM events),
+arriving AS (
+  SELECT *, least(CAST(floor((ts - min(ts) OVER ()) * 3 / (max(ts) OVER () - min(ts) OVER () + 1)) AS BIGINT) + CAST(delayed AS BIGINT), 2) AS arrival,
+         (ts // 3600 + 1) * 3600 AS tick
+  FROM seconds),
+latest AS (SELECT arrival, max(ts) AS latest FROM arriving GROUP BY arrival),
+judged AS (
+  SELECT *, coalesce(tick <= (SELECT max(latest) FROM latest WHERE latest.arrival < arriving.arrival) - 600, FALSE) AS late FROM arriving)"""
+
+
+def arrived(spark, sf_dir) -> tuple[str, dict]:
+    """Events that arrive in three batches, one of twenty with the next one."""
+    folder = new_folder(spark, "arrivals")
+    measures = {**late.histogram(F.col("took_in_millis")), **late.counter("errors", F.col("event_type") == "error")}
+    given.replay(
+        timed_events(spark, sf_dir).withColumn("ts", F.expr("us div 1000000")).drop("time"),
+        "ts",
+        lambda rows: late.stream_ticks(rows, measures, folder, folder + "-checkpoint", 3600, allowed_seconds=600),
+        delayed=F.col("event_id") % 20 == 0,
+    )
+    return folder, measures
+
+
+@query("stream_late", f"WITH {ARRIVALS} SELECT event_id, event_type, ts FROM judged WHERE late")
+def stream_late(spark, sf_dir):
+    """What came after its tick was closed."""
+    folder, _ = arrived(spark, sf_dir)
+    return late.late_rows(spark, folder).select("event_id", "event_type", "ts")
+
+
+@query(
+    "stream_timely",
+    f"""WITH {ARRIVALS}
+    SELECT tick AS ts, count(*) AS "count", count(*) FILTER (event_type = 'error') AS errors,
+           (SELECT count(*) FROM judged WHERE late) AS late, (SELECT count(*) FROM judged) AS arrived
+    FROM judged WHERE NOT late GROUP BY tick""",
+)
+def stream_timely(spark, sf_dir):
+    """Ticks of what came in time, and how much did not."""
+    folder, measures = arrived(spark, sf_dir)
+    so_far = late.arrivals_so_far(spark, folder).first()
+    counted = late.ticks_so_far(spark, folder, measures)
+    return counted.select("ts", "count", "errors", *[F.lit(so_far[c]).cast("bigint").alias(c) for c in ("late", "arrived")])
+
+
 @query(
     "stream_errors",
     f"""WITH {HOURS}, per_tick AS (
@@ -893,6 +1006,47 @@ def stream_delays(spark, sf_dir):
     return batches.read_all(spark, folder + "/out")
 
 
+@query(
+    "stream_delays_unordered",
+    """WITH delays AS (
+      SELECT event_id, event_type, epoch_us(ts) AS us,
+             coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0) AS delay
+      FROM events)
+    SELECT * FROM delays WHERE us < (SELECT (max(us) // 1000 - (max(us) - min(us)) // 2000) * 1000 FROM delays)""",
+)
+def stream_delays_unordered(spark, sf_dir):
+    """Events in no order, one of seven comes an arrival late; out is what the watermark, half the test behind, has passed."""
+    folder = new_folder(spark, "delays")
+    events = timed_events(spark, sf_dir).select("event_id", "event_type", "us")
+    millis = events.selectExpr("(max(us) - min(us)) div 2000").first()[0]
+    given.replay(
+        events.repartition(4, F.xxhash64("event_id")),
+        "us",
+        lambda rows: ordered.stream_delays_unordered(
+            rows, "event_type", "us", ["event_id"], folder + "/out", folder + "/checkpoint", watermark=f"{millis} milliseconds"
+        ),
+        delayed=F.col("event_id") % 7 == 0,
+    )
+    return spark.read.schema("event_id bigint, event_type string, us bigint, delay bigint").parquet(folder + "/out")
+
+
+@query("stream_loadspec", f"WITH {SPEC} SELECT id, delay_since_last_nanos, url, source FROM spec")
+def stream_loadspec(spark, sf_dir):
+    """The loadspec of a slow log that arrives in parts."""
+    folder = new_folder(spark, "loadspec")
+    lines = given.slowlog_lines(spark, sf_dir)
+    time = F.coalesce(
+        F.try_to_timestamp(F.substring("value", 2, 23), F.lit("yyyy-MM-dd HH:mm:ss,SSS")),
+        F.try_to_timestamp(F.substring("value", 2, 10), F.lit("yyyy-MM-dd")),
+    )
+    given.replay(
+        lines.withColumn("millis", F.unix_millis(time)),
+        "millis",
+        lambda arriving: loadspec_stream.stream_loadspec(arriving, folder, folder + "-checkpoint", ["ord"]),
+    )
+    return loadspec_stream.read_loadspec(spark, folder)
+
+
 @query(
     "stream_slowlog",
     f"""WITH {LOG} SELECT ts_nanos, body, host || '/' || event_type || '/' || types || '/_search?search_type=' || search_type AS url
