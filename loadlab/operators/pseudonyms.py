@@ -30,7 +30,7 @@ def empty_map(spark) -> DataFrame:
     return spark.createDataFrame([], schemas.PSEUDONYMS)
 
 
-def _occurrences(members: DataFrame, order: list[str], patterns: dict[str, str]) -> DataFrame:
+def occurrences_of(members: DataFrame, order: list[str], patterns: dict[str, str]) -> DataFrame:
     """``order..., place, field, value, key`` for every string to be changed."""
     rows = members.select(*order, F.posexplode("_members").alias("place", "_member")).select(
         *order, "place", F.col("_member.field").alias("field"), F.col("_member.value").alias("value")
@@ -41,13 +41,13 @@ def _occurrences(members: DataFrame, order: list[str], patterns: dict[str, str])
 
 def occurrences(df: DataFrame, order: list[str], patterns: dict[str, str]) -> DataFrame:
     """Occurrences in typed documents; ``order`` identifies a document and orders them."""
-    return _occurrences(df.select(*order, documents.list_members(df.schema, list(patterns)).alias("_members")), order, patterns)
+    return occurrences_of(df.select(*order, documents.list_members(df.schema, list(patterns)).alias("_members")), order, patterns)
 
 
 def json_occurrences(df: DataFrame, order: list[str], patterns: dict[str, str], body: str = "body") -> DataFrame:
     """Occurrences in JSON text."""
     listed = documents.json_members(F.col(body), list(patterns))
-    return _occurrences(df.select(*order, listed.alias("_members")), order, patterns)
+    return occurrences_of(df.select(*order, listed.alias("_members")), order, patterns)
 
 
 def ids_used(known: DataFrame) -> DataFrame:
@@ -171,13 +171,19 @@ def _swaps(found: DataFrame, pseudonyms: DataFrame, order: list[str]) -> DataFra
 
 
 def rewrite(
-    df: DataFrame, patterns: dict[str, str], pseudonyms: DataFrame, order: list[str], found: DataFrame | None = None
+    df: DataFrame,
+    patterns: dict[str, str],
+    pseudonyms: DataFrame,
+    order: list[str],
+    found: DataFrame | None = None,
+    in_jvm: bool = False,
 ) -> DataFrame:
     """Typed documents with every occurrence of a key in its value replaced.
 
     A small dictionary is sent along and documents are not shuffled at all.
     Otherwise narrow occurrence rows meet the dictionary and documents are
-    joined once by their own key, NULL keys like any other.
+    joined once by their own key, NULL keys like any other; ``in_jvm`` chooses that
+    where a small dictionary would be looked up in Python.
     """
     fields = list(patterns)
     paths = documents.scalar_paths(df.schema, fields)
@@ -190,7 +196,7 @@ def rewrite(
         hit = F.filter("_swaps", lambda s: (s["field"] == name) & (s["value"] == value))
         return F.coalesce(F.get(hit, F.lit(0))["new"], value)
 
-    if is_small:
+    if is_small and not in_jvm:
         listed = documents.list_members(df.schema, fields)
         joined = df.withColumn("_swaps", _local_swaps(listed, patterns, pseudonyms))
     else:

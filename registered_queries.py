@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loadlab import fixed_values as fixed
 from loadlab.functions import documents, outcomes
 from loadlab.operators import (
-    arrivals, attribution, cooldown, hits, inverted, nodes, pseudonyms, reports, requests, sequence, sketches
+    arrivals, attribution, cooldown, hits, inverted, nodes, pseudonyms, reports, requests, sequence, shaped, sketches
 )
 from loadlab.plans import given_tables as given, indexes, loadspecs, reports as reports_job
 from loadlab.sources import readers, writers
@@ -780,6 +780,42 @@ def pseudonymised_json(spark, sf_dir):
     )
 
 
+@query(
+    "pseudonymised_variant",
+    f"""WITH {PAGES},
+    known AS (SELECT page_id AS _id, url, html, CASE page_id % 10 WHEN 3 THEN NULL ELSE lang END AS lang FROM found JOIN pages USING (page_id, url)),
+    swapped AS (
+      SELECT _id, coalesce(replace(known.url, h."key", h.anon), known.url) AS url, coalesce(l.anon, lang) AS lang, html,
+             coalesce(replace(known.url || '#top', h."key", h.anon), known.url || '#top') AS link
+      FROM known LEFT JOIN ids h ON h.field = 'url' AND h."key" = regexp_extract(known.url, 'https?://([^/]+)', 1)
+      LEFT JOIN lang_ids l ON l."key" = lang)
+    SELECT _id, url, lang, link, md5(html) AS html, length(html) AS size,
+           CASE _id % 10 WHEN 3 THEN 'null' WHEN 4 THEN 'number' ELSE 'typed' END AS kind FROM swapped""".replace(
+        "swapped AS", """lang_firsts AS (SELECT lang AS "key", min(_id) AS first FROM known WHERE lang <> '' GROUP BY lang),
+    lang_ids AS (SELECT "key", CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR) AS anon FROM lang_firsts),
+    swapped AS""", 1),
+)
+def pseudonymised_variant(spark, sf_dir):
+    """Pages as JSON text, most of one shape; some have a null member, some a member of another kind."""
+    pages = given.page_documents(spark, sf_dir)
+    text = pages.select("_id", F.to_json(F.struct(*pages.columns)).alias("body"))
+    kind = F.pmod("_id", F.lit(10))
+    changed = (
+        F.when(kind == 3, F.regexp_replace("body", r'"lang":"[^"]*"', '"lang":null'))
+        .when(kind == 4, F.regexp_replace("body", r'"size":(\d+)', r'"size":"$1"'))
+        .otherwise(F.col("body"))
+    )
+    rewritten, _ = shaped.pseudonymise_shaped(text.withColumn("body", changed), page_patterns(), ["_id"])
+    rows = stage(rewritten, "rewritten")
+    member = lambda path: F.get_json_object("body", path)
+    size = F.get_json_object("body", "$._source.size").cast("bigint")
+    shown = F.when(F.contains("body", F.lit('"lang":null')), "null").when(F.col("body").rlike('"size":"'), "number").otherwise("typed")
+    return rows.select(
+        "_id", member("$.url").alias("url"), member("$._source.lang").alias("lang"), member("$.links[0].url").alias("link"),
+        F.md5(member("$._source.html")).alias("html"), size.alias("size"), shown.alias("kind"),
+    )
+
+
 @query(
     "response_fields",
     """SELECT event_id AS id,
