@@ -512,7 +512,7 @@ def pseudonymised_requests(spark, sf_dir):
     patterns = documents.field_patterns([r"preference::user-(\d+)"])
     spec = loadspecs.from_slowlog(
         given.slowlog_lines(spark, sf_dir),
-        pseudonymise=lambda rows: pseudonyms.json_pseudonymise(rows, patterns, ["ord"])[0],
+        pseudonymise=lambda rows: shaped.pseudonymise_shaped(rows, patterns, ["ord"])[0],
     )
     return spec.select(*loadspecs.COLUMNS)
 
