@@ -91,6 +91,52 @@ def counter_report(
     return running_total(ticks, "_n", "value", position="_tick", block_rows=BLOCK_ROWS).select("ts", "value")
 
 
+def outcome_ticks(
+    attempts: DataFrame,
+    interval: int = fixed.DEFAULT_INTERVAL_SECONDS,
+    throttle_codes=DEFAULT_THROTTLE_CODES,
+    approx: bool = False,
+) -> DataFrame:
+    """What the reports of a load test need per tick, out of one pass over its attempts; gap-free and staged.
+
+    ``_tick, ts, sent, failed`` and, of server time (``took``) and pauses (``pause``), ``<name>_count`` and an array
+    of quantiles ``<name>_q``.  Exact quantiles first count equal rows, of which a tick has as many as different
+    times and pauses; ``approx`` keeps a sketch of bounded size (:mod:`loadlab.operators.sketches`).
+    """
+    from loadlab.operators import sketches
+
+    kind = outcome(F.col("code"), throttle_codes)
+    rows = attempts.select(
+        tick_end(F.col("ts"), interval).alias("ts"),
+        F.when(F.col("code") == 200, F.col("took_in_millis")).alias("took"),
+        F.when(kind == "throttled", F.col("pause_millis")).alias("pause"),
+        counts_as_error(kind).alias("failed"),
+    )
+    values = ("took", "pause")
+    if approx:
+        counted = [F.count(v).alias(f"{v}_count") for v in values] + [sketches.sketch(F.col(v)).alias(f"{v}_s") for v in values]
+        ticks = rows.groupBy("ts").agg(F.count("*").alias("sent"), F.count_if("failed").alias("failed"), *counted)
+        quantiles = [
+            F.when(F.col(f"{v}_count") > 0, F.kll_sketch_get_quantile_bigint(f"{v}_s", F.array(*map(F.lit, fixed.QUANTILES)))).alias(f"{v}_q")
+            for v in values
+        ]
+        ticks = ticks.select("ts", "sent", "failed", *[f"{v}_count" for v in values], *quantiles)
+    else:
+        equal = rows.groupBy("ts", *values).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
+        probabilities = F.array(*map(F.lit, fixed.QUANTILES))
+        counted = [F.sum(F.when(F.col(v).isNotNull(), F.col("n"))).alias(f"{v}_count") for v in values]
+        quantiles = [F.percentile(v, probabilities, F.col("n")).alias(f"{v}_q") for v in values]
+        ticks = equal.groupBy("ts").agg(F.sum("n").alias("sent"), F.sum("failed").alias("failed"), *counted, *quantiles)
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("sent", "failed", *[f"{v}_count" for v in values])]
+    return stage(gap_free(ticks, interval).select("_tick", "ts", *filled, *[f"{v}_q" for v in values]), "outcome-ticks")
+
+
+def histogram_of(ticks: DataFrame, value: str) -> DataFrame:
+    """The report ``ts, count, p50, p90, p99, p999`` of ``took`` or ``pause`` out of :func:`outcome_ticks`."""
+    quantiles = [F.col(f"{value}_q")[i].cast("double").alias(name) for i, name in enumerate(fixed.QUANTILE_NAMES)]
+    return ticks.select("ts", F.col(f"{value}_count").alias("count"), *quantiles)
+
+
 def requests_sent_report(attempts: DataFrame, interval: int = fixed.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
     return counter_report(attempts, F.lit(True), interval)
 

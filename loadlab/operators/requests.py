@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import bodies, slowlog
@@ -65,6 +65,23 @@ def rejects(lines: DataFrame, line: str = "value") -> DataFrame:
     return parse_lines(lines, line).where(wrong).select(*keep, line, "reason")
 
 
+#: Why a line is not replayed, and the name of its count.
+REASONS = {"no match": "no_match", "other log type": "other_log_type", "bad time": "bad_time", "bad body": "bad_body"}
+
+
+def observe(parsed: DataFrame, observed: Observation) -> DataFrame:
+    """The parsed lines; ``observed`` gets ``lines``, ``parsed`` and a count per reason from whatever job reads them."""
+    counts = [F.count_if(F.col("reason") == reason).alias(name) for reason, name in REASONS.items()]
+    return parsed.observe(observed, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reason").isNull()).alias("parsed"), *counts)
+
+
+def check_share(counts: dict[str, int], max_reject_share: float) -> None:
+    """Stop if more than this share of lines is no valid slow-log entry."""
+    rejected = counts["lines"] - counts["parsed"] - counts["other_log_type"]
+    if rejected > max_reject_share * counts["lines"]:
+        raise ValueError(f"{rejected} of {counts['lines']} slow-log lines rejected: {counts}")
+
+
 def fail_on_reject(parsed: DataFrame, line: str = "value") -> DataFrame:
     """The parsed lines, stopping the job at the first invalid one."""
     message = F.concat(F.lit("slow-log line rejected ("), F.col("reason"), F.lit("): "), F.col(line))

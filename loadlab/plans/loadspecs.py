@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from loadlab import fixed_values as fixed
 from loadlab.operators import arrivals, requests, sequence
@@ -20,6 +20,8 @@ def from_slowlog(
     order: list[str] = ("ord",),
     keep: list[str] = (),
     fail_on_reject: bool = False,
+    observed: Observation | None = None,
+    max_reject_share: float | None = None,
 ) -> DataFrame:
     """Slow-log lines to a replayable loadspec that keeps the arrival times.
 
@@ -30,19 +32,30 @@ def from_slowlog(
     columns of ``lines`` along.  Invalid lines are left out (see
     :func:`loadlab.operators.requests.rejects`) or, with ``fail_on_reject``,
     stop the job.
+
+    ``observed`` gets the counts of :func:`loadlab.operators.requests.observe` on the way, without a
+    second reading; with ``max_reject_share`` a larger share of invalid lines stops the job before anything is sorted.
     """
     prepare(lines.sparkSession)
     order, keep = list(order), [c for c in keep if c not in order]
     max_nanos = int(max_duration_seconds * fixed.NANOS)
 
-    if fail_on_reject:
-        checked = requests.fail_on_reject(requests.parse_lines(lines))
+    if max_reject_share is not None and observed is None:
+        observed = Observation()
+    if fail_on_reject or observed is not None:
+        checked = requests.parse_lines(lines)
+        if observed is not None:
+            checked = requests.observe(checked, observed)
+        if fail_on_reject:
+            checked = requests.fail_on_reject(checked)
         parsed = checked.where(checked["reason"].isNull())
     else:
         parsed = requests.replayable(lines)
     needed = parsed.select(*order, *keep, "ts_nanos", "host", "index", "types", "search_type", "body")
     # Lines are matched once; sampling, cutting and sorting then read columns.
     rows = stage(needed, "requests")
+    if max_reject_share is not None:
+        requests.check_share(observed.get, max_reject_share)
     if indexes:
         rows = requests.override_index(rows, list(indexes), order)
     if pseudonymise is not None:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loadlab import fixed_values as fixed
-from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES, counts_as_error, outcome
+from loadlab.functions.outcomes import DEFAULT_THROTTLE_CODES
 from loadlab.operators import attribution, reports, sequence
-from loadlab.session import prepare, stage, staged_here
+from loadlab.session import prepare, published, stage, staged_here
 from loadlab.sources.writers import metric_path, write_metrics, write_requests
 
 
@@ -24,15 +24,14 @@ def report_series(
     with NULL code for transport failures; ``node_stats``: parsed polls.
     """
     prepare(attempts.sparkSession)
-    error = counts_as_error(outcome(F.col("code"), throttle_codes))
-    counts = stage(reports.tick_counts(attempts, {"sent": F.lit(True), "failed": error}, interval), "tick-counts")
+    ticks = reports.outcome_ticks(attempts, interval, throttle_codes, approx)
     running = {
-        name: sequence.running_total(counts, column, "value", position="_tick").select("ts", "value")
+        name: sequence.running_total(ticks, column, "value", position="_tick").select("ts", "value")
         for name, column in ((fixed.REQUESTS_SENT, "sent"), (fixed.ERRORS, "failed"))
     }
     series = {
-        fixed.RESPONSE_TIME: reports.response_time_report(attempts, interval, approx),
-        fixed.PAUSE_TIME: reports.pause_report(attempts, interval, throttle_codes, approx),
+        fixed.RESPONSE_TIME: reports.histogram_of(ticks, "took"),
+        fixed.PAUSE_TIME: reports.histogram_of(ticks, "pause"),
         **running,
     }
     if node_stats is not None:
@@ -46,10 +45,10 @@ def report_series(
             F.max_by("stats", F.struct("poll_ts", *[F.col(f"stats.{path}") for _, _, path in columns.values()])).alias("stats")
         )
         values = newest.select("node_id", "ts", *[F.col(f"stats.{path}").alias(c) for c, (_, _, path) in columns.items()])
-        ticks = stage(reports.carried(values, list(columns), interval, ["node_id"]), "node-ticks")
+        polled = stage(reports.carried(values, list(columns), interval, ["node_id"]), "node-ticks")
         for name in fixed.NODE_SERIES:
             own = [F.col(f"`{c}`").alias(header) for c, (of, header, _) in columns.items() if of == name]
-            series[name] = ticks.select("node_id", "ts", *own)
+            series[name] = polled.select("node_id", "ts", *own)
     return series
 
 
@@ -62,9 +61,14 @@ def write_reports(
     throttle_codes=DEFAULT_THROTTLE_CODES,
     approx: bool = False,
 ) -> None:
-    """All series and the per-request rows as ``<name>_<exp_id>.csv``."""
+    """All series and the per-request rows as ``<name>_<exp_id>.csv``, all files or none.
+
+    Files are written aside and appear when the last one is done; a job that fails leaves nothing, and
+    none is replaced.  Attempts are read twice: for the series, and for the request rows.
+    """
     if not results_path:
         raise ValueError("results_path can not be empty")
-    with staged_here(prepare(attempts.sparkSession)):
-        write_metrics(report_series(attempts, node_stats, interval, throttle_codes, approx), results_path, exp_id)
-        write_requests(attribution.request_rows(attempts), metric_path(results_path, fixed.REQUEST, exp_id))
+    spark = prepare(attempts.sparkSession)
+    with staged_here(spark), published(spark, results_path) as aside:
+        write_metrics(report_series(attempts, node_stats, interval, throttle_codes, approx), aside, exp_id)
+        write_requests(attribution.request_rows(attempts), metric_path(aside, fixed.REQUEST, exp_id))

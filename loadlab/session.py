@@ -72,6 +72,34 @@ def staged_here(spark: SparkSession) -> Iterator[None]:
         drop_folder(spark, _scopes.pop())
 
 
+@contextmanager
+def published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder beside the others of ``folder`` to write to; what lies in it goes to ``folder`` when all is written.
+
+    Nothing that is there is replaced.  If anything fails, what was written and what had moved goes.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{folder.rstrip('/')}/_unpublished-{uuid.uuid4().hex}"
+    moved = []
+    try:
+        yield aside
+        targets = [(entry.getPath(), path(path(folder), entry.getPath().getName())) for entry in store.listStatus(path(aside))]
+        there = [target.toString() for _, target in targets if store.exists(target)]
+        if there:
+            raise FileExistsError(f"already there: {there}")
+        for source, target in targets:
+            if not store.rename(source, target):
+                raise OSError(f"could not publish {target.toString()}")
+            moved.append(target)
+    except BaseException:
+        for target in moved:
+            store.delete(target, True)
+        raise
+    finally:
+        store.delete(path(aside), True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import documents, outcomes
@@ -88,6 +88,24 @@ def slowlog_rejects(spark, sf_dir):
     return requests.rejects(given.slowlog_lines(spark, sf_dir)).select("ord", "reason")
 
 
+@query(
+    "slowlog_counts",
+    """WITH kinds AS (
+      SELECT event_type = 'signup' AS other, event_type = 'error' AND value >= 200 AS bad_time, event_type = 'error' AND value < 5 AS bad_body FROM events)
+    SELECT count(*) AS lines, count(*) FILTER (NOT other AND NOT bad_time AND NOT bad_body) AS parsed, CAST(0 AS BIGINT) AS no_match,
+           count(*) FILTER (other) AS other_log_type, count(*) FILTER (NOT other AND bad_time) AS bad_time,
+           count(*) FILTER (NOT other AND NOT bad_time AND bad_body) AS bad_body,
+           count(*) FILTER (NOT other AND NOT bad_time AND NOT bad_body) AS requests
+    FROM kinds""",
+)
+def slowlog_counts(spark, sf_dir):
+    """What became of the lines of a log, counted while the loadspec was made."""
+    observed = Observation()
+    spec = loadspecs.from_slowlog(given.slowlog_lines(spark, sf_dir), observed=observed, max_reject_share=0.5)
+    counts = [F.lit(observed.get[c]).cast("bigint").alias(c) for c in ("lines", "parsed", *requests.REASONS.values())]
+    return spec.agg(F.count("*").alias("requests")).select(*counts, "requests")
+
+
 @query("loadspec_from_log", f"WITH {SPEC} SELECT id, delay_since_last_nanos, url, source FROM spec")
 def loadspec_from_log(spark, sf_dir):
     return loadspecs.from_slowlog(given.slowlog_lines(spark, sf_dir)).select(*loadspecs.COLUMNS)
@@ -705,21 +723,67 @@ def node_stats_files(spark, sf_dir):
     return nodes.series(readers.read_node_stats(spark, folder, one_per_line=True), "cpu")
 
 
-@query(
-    "report_files",
-    f"""WITH {ATTEMPTS}, per_day AS (
-      SELECT (ts // 86400 + 1) * 86400 AS day, count(*) FILTER (outcome IN ('transport', 'client_error', 'error')) AS n
-      FROM judged GROUP BY day),
-    days AS (SELECT unnest(range(min(day), max(day) + 1, 86400)) AS ts FROM per_day)
-    SELECT ts, CAST(sum(coalesce(n, 0)) OVER (ORDER BY ts) AS BIGINT) AS "value" FROM days LEFT JOIN per_day ON day = ts""",
-)
+def fixed_text(column: str) -> str:
+    """A double with two decimals, a half of what it prints as away from zero, as text; NaN for none."""
+    return f"coalesce(CAST(CAST(round(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DECIMAL(30, 2)) AS VARCHAR), 'NaN')"
+
+
+def between_sql(values: str, q: float) -> str:
+    """The quantile of a sorted list, between two values by weights: written files show each double's last digit."""
+    at = f"((len({values}) - 1) * {q}::DOUBLE)"
+    low, high = f"{values}[CAST(floor({at}) AS BIGINT) + 1]", f"{values}[CAST(ceil({at}) AS BIGINT) + 1]"
+    return f"CASE WHEN {low} = {high} THEN CAST({low} AS DOUBLE) ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END"
+
+
+def report_lines_sql() -> str:
+    """Every line of the 14 report files of a test, a day per tick."""
+    days = "days AS (SELECT unnest(range(min(day), max(day) + 1, 86400)) AS ts FROM per_day)"
+    per_day = f"""per_day AS (
+      SELECT (ts // 86400 + 1) * 86400 AS day, count(*) AS sent,
+             count(*) FILTER (outcome IN ('transport', 'client_error', 'error')) AS failed,
+             count(*) FILTER (code = 200) AS took_n, list_sort(list(took) FILTER (code = 200)) AS took_v,
+             count(*) FILTER (outcome = 'throttled') AS pause_n, list_sort(list(pause) FILTER (outcome = 'throttled')) AS pause_v
+      FROM judged GROUP BY day)"""
+    files = []
+    for name, value in ((fixed.RESPONSE_TIME, "took"), (fixed.PAUSE_TIME, "pause")):
+        texts = " || ',' || ".join(fixed_text(between_sql(f"{value}_v", q)) for q in fixed.QUANTILES)
+        files.append(f"SELECT '{name}' AS file, ts || ',' || coalesce({value}_n, 0) || ',' || {texts} AS line FROM days LEFT JOIN per_day ON day = ts")
+    for name, value in ((fixed.REQUESTS_SENT, "sent"), (fixed.ERRORS, "failed")):
+        files.append(
+            f"SELECT '{name}', ts || ',' || CAST(sum(coalesce({value}, 0)) OVER (ORDER BY ts) AS BIGINT) FROM days LEFT JOIN per_day ON day = ts"
+        )
+    files.append(
+        f"""SELECT '{fixed.REQUEST}', ts || ',' || code || ',' || CASE WHEN code = 200 THEN took || ',' || latency ELSE '0,0' END || ',' || id
+        FROM judged WHERE code IS NOT NULL"""
+    )
+    values = {
+        "mem.young": ("k + 1", "k + 2"), "mem.survivor": ("k + 3", "k + 4"), "mem.tenured": ("k + 5", "k + 6"), "mem.heap": ("c * 3", "c * 5"),
+        "mem.nonheap": ("c + 1", "c + 2"), "mem.os": ("c", "c * 100"), "mem.swap": ("0", "0"), "cpu": ("k % 100", "k * 10"),
+        "gc.young": ("k + 7", "k + 8"), "gc.full": ("k + 9", "k + 10"),
+    }
+    # Of polls of one time the one with the greatest values, the first series first, counts.
+    for name, (first, second) in values.items():
+        files.append(f"SELECT '{name}', node_id || ',' || ts || ',' || ({first}) || ',' || ({second}) FROM held")
+    newest = """newest AS (
+      SELECT node_id, (poll_ts // 86400 + 1) * 86400 AS ts, last(k ORDER BY poll_ts, k) AS k, last(c ORDER BY poll_ts, k) AS c FROM polls GROUP BY ALL),
+    nodes AS (SELECT node_id, unnest(range(min(ts), max(ts) + 1, 86400)) AS ts FROM newest GROUP BY node_id),
+    held AS (
+      SELECT node_id, ts, last_value(k IGNORE NULLS) OVER w AS k, last_value(c IGNORE NULLS) OVER w AS c FROM nodes LEFT JOIN newest USING (node_id, ts)
+      WINDOW w AS (PARTITION BY node_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+    return f"WITH {ATTEMPTS}, {per_day}, {days}, {NODES}, {newest} " + " UNION ALL ".join(files)
+
+
+@query("report_files", report_lines_sql())
 def report_files(spark, sf_dir):
-    """All report files of a test, a day per tick; the error series read back."""
+    """All 14 report files of a test, a day per tick, read back line by line."""
     folder = new_folder(spark, "files")
     polls = stage(nodes.parse_polls(given.node_polls(spark, sf_dir)), "polls")
     reports_job.write_reports(stage(given.attempts(spark, sf_dir), "attempts"), folder, node_stats=polls, interval=86_400)
-    path = writers.metric_path(folder, fixed.ERRORS, "1")
-    return spark.read.schema("ts bigint, value bigint").csv(path, header=True)
+    names = [fixed.RESPONSE_TIME, fixed.PAUSE_TIME, fixed.REQUESTS_SENT, fixed.ERRORS, fixed.REQUEST, *fixed.NODE_SERIES]
+    paths = [writers.metric_path(folder, name, "1") for name in names]
+    # Each with a header; CSV of one column is the line.
+    lines = spark.read.option("sep", "\x01").schema("line string").csv(paths, header=True, enforceSchema=True)
+    return lines.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)_1\.csv/[^/]*$", 1).alias("file"), "line")
 
 
 @query(
