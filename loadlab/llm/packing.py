@@ -12,6 +12,7 @@ No shuffle: tokens are written where the text was read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ from loadlab.llm.words import slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of blanks this long are encoded by themselves: the splitting pattern tries every end of a run.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 END_OF_TEXT = 50256
 LENGTH = 4096
 BLOCK_TOKENS = 1 << 21
@@ -41,6 +44,20 @@ def encoding(vocabulary: bytes, split: str = SPLIT):
     return tiktoken.Encoding("packing", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoder, text: str) -> np.ndarray:
+    """The ids of a text, those of the encoder itself, however long a run of blanks is.
+
+    Of a run, all but the last character are one piece where something else follows, and the last one belongs to that.
+    """
+    found, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += [encoder.encode_to_numpy(text[at : run.start()], disallowed_special=()), encoder._encode_single_piece(text[run.start() : end])]
+        at = end
+    rest = encoder.encode_to_numpy(text[at:], disallowed_special=())
+    return np.concatenate([*found, rest]) if found else rest
+
+
 class Capacities:
     """Open rows by free capacity 0 .. ``most``, in a segment tree of counts."""
 
@@ -151,7 +168,7 @@ def pack(
     key_type = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(sent.value).encode_to_numpy
+        encoder = encoding(sent.value)
         next_id = TaskContext.get().partitionId() << 33
         keys: list[pa.Array] = []
         tokens: list[np.ndarray] = []
@@ -171,7 +188,7 @@ def pack(
             for part in slices(batch, "text"):
                 at = 0
                 for i, t in enumerate(part.column("text")):
-                    ids = encode(t.as_py() or "", disallowed_special=()).astype(kind)
+                    ids = encode(encoder, t.as_py() or "").astype(kind)
                     tokens.append(np.append(ids, kind(end_of_text)))
                     gathered += len(ids) + 1
                     if gathered >= block_tokens:

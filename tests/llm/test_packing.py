@@ -47,3 +47,23 @@ def test_texts_come_back(spark):
 
 def test_no_document(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_of_blanks(spark):
+    with open(packing.VOCABULARY, "rb") as file:
+        encoder = packing.encoding(file.read())
+    plain = lambda t: encoder.encode(t, disallowed_special=())
+    for blank in (" ", "\n", "\t", " \n", "　", "\x85 ", "\r\n", " "):
+        run = blank * 5000
+        for text in (run, "a" + run, run + "b", "a" + run + "b" + run + "\n1", "a" + run + "'s", run[:4096] + "!", "a" + run[:4095] + "b", run + "\x1c" + run):
+            assert packing.encode(encoder, text).tolist() == plain(text)
+    # Longer than the splitting pattern takes.
+    texts = ["a" + blank * 1_000_000 + end for blank in (" ", "\n", "　") for end in ("", "b")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in packing.segments(packing.pack(docs, length=1 << 16)).collect():
+        ids = np.frombuffer(r.input_ids, dtype="<u2")[r.start : r.start + r.length]
+        found.setdefault(r.doc_id, []).append((r.doc_offset, ids))
+    for i, text in enumerate(texts):
+        ids = np.concatenate([p for _, p in sorted(found[i], key=lambda p: p[0])]).tolist()
+        assert encoder.decode(ids[:-1]) == text
