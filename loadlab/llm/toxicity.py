@@ -120,13 +120,39 @@ def fit(positive: np.ndarray, row: np.ndarray, column: np.ndarray, columns: int,
     return w[:-1], float(w[-1])
 
 
+def _positive(texts: DataFrame, toxic: DataFrame, most: int) -> DataFrame:
+    """``positive, text`` of at most ``most`` rows with a toxic key, drawn by hash."""
+    draw = F.xxhash64("k")
+    # At most ``most`` keys; a key may have any number of rows.
+    keys = toxic.orderBy(draw, "k").limit(most)
+    rows = texts.join(F.broadcast(keys), "k").orderBy(draw, "k", F.xxhash64("text"), "text").limit(most)
+    return rows.select(F.lit(True).alias("positive"), "text")
+
+
+def _drawn(texts: DataFrame, most: int) -> DataFrame:
+    """``positive, text`` of ``most`` rows, or all if there are fewer, drawn by hash.
+
+    Only rows below a bound of the hash, chosen by their number, come together to be put in order.
+    """
+    draw = F.xxhash64("k")
+    below = F.lit(True)
+    total = texts.count()
+    if total > 4 * most:
+        bound = draw < F.lit(-(1 << 63) + int((1 << 64) * 2 * most / total))
+        # Where rows repeat a key the bound may leave too few.
+        below = bound if texts.where(bound).count() >= most else below
+    rows = texts.where(below).orderBy(draw, "k", F.xxhash64("text"), "text").limit(most)
+    return rows.select(F.lit(False).alias("positive"), "text")
+
+
 def train(documents: DataFrame, labels: DataFrame, how: Training = Training(), key: str = "doc_id", text: str = "text") -> Model:
     """Fit on a bounded sample.
 
     ``labels`` has ``key`` and ``toxic``; hand in only rows that may be learnt
     from.  The class prior is the share of toxic rows in it.  Unlabelled texts
     are drawn from all ``documents`` handed in.  Without a positive row the model knows nothing and
-    calls every text clean; NULL keys and NULL labels are left out.
+    calls every text clean; NULL keys and NULL labels are left out.  Rows are drawn, not keys: a key that is
+    repeated, toxic or not, makes the sample no larger.
     """
     known = labels.where(labels[key].isNotNull() & labels["toxic"].isNotNull()).select(labels[key].alias("k"), "toxic")
     prior = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0]
@@ -134,12 +160,8 @@ def train(documents: DataFrame, labels: DataFrame, how: Training = Training(), k
         return Model(np.zeros(0, np.int64), np.zeros(0), -6.0, 0.0)
     prior = min(prior, 0.9)
     texts = documents.select(documents[key].alias("k"), documents[text].alias("text")).where("k is not null")
-    draw = F.xxhash64("k")
-    toxic = known.where("toxic = 1").select("k").distinct().orderBy(draw, "k").limit(how.most_positive)
-    others = texts.select("k").orderBy(draw, "k").limit(how.most_unlabelled)
-    chosen = toxic.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    # At most most_positive + most_unlabelled rows of a key and a flag.
-    sample = stage(texts.join(F.broadcast(chosen), "k").select("positive", "text"), "toxicity-sample")
+    toxic = known.where("toxic = 1").select("k").distinct()
+    sample = stage(_positive(texts, toxic, how.most_positive).unionByName(_drawn(texts, how.most_unlabelled)), "toxicity-sample")
 
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)

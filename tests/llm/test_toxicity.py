@@ -59,3 +59,19 @@ def test_risk_ignores_hidden_positives():
     prior = toxic[~positive].mean()
     weight, bias = toxicity.fit(positive, row, column, 1, prior, toxicity.Training())
     assert bias < 0 < weight[0] + bias
+
+
+def test_repeated_keys_do_not_enlarge_the_sample(spark):
+    rows = [(7, f"vile text {i % 50}") for i in range(400)] + [(100 + i, f"plain text {i}") for i in range(200)] + [(None, "x")] * 5
+    texts = spark.createDataFrame(rows, "k long, text string").where("k is not null")
+    toxic = spark.createDataFrame([(7,), (101,)], "k long")
+    positive = toxicity._positive(texts, toxic, 60).collect()
+    assert len(positive) == 60 and all(r.positive for r in positive)
+    for most in (20, 100, 1000):
+        drawn = toxicity._drawn(texts, most).collect()
+        assert len(drawn) == min(most, 600) and not any(r.positive for r in drawn)
+        assert sorted(r.text for r in drawn) == sorted(r.text for r in toxicity._drawn(texts.repartition(3), most).collect())
+    labels = spark.createDataFrame([(7, 1), (101, 1), (102, 0), (103, 0)], "doc_id long, toxic int")
+    model = toxicity.train(texts.withColumnRenamed("k", "doc_id"), labels, toxicity.Training(most_positive=50, most_unlabelled=100))
+    scores = {r.doc_id: r.score for r in toxicity.score(texts.withColumnRenamed("k", "doc_id"), model).collect()}
+    assert scores[7] > scores[150]
