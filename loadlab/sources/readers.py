@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loadlab import schemas
 from loadlab.operators import nodes
 from loadlab.operators.sequence import BLOCK_ROWS, carry_forward, in_order
+from loadlab.session import stage
 
 # Columns that identify a text line and sort lines in input order.
 LINE_ORDER = ["file", "block", "line"]
@@ -88,8 +89,14 @@ def slice_documents(df: DataFrame, order: list[str], offset: int = 0, total: int
 def read_documents(
     spark: SparkSession, path: str | list[str], offset: int = 0, total: int = 0
 ) -> DataFrame:
-    """An exported index, one JSON document per line: ``file, block, line, body``."""
+    """An exported index, one JSON document per line: ``file, block, line, body``.
+
+    A slice is taken in two passes, and numbers of lines follow the splits of a read, which may differ from one to the
+    next; so the lines are staged first.
+    """
     lines = read_lines(spark, path).withColumnRenamed("value", "body")
+    if offset or total:
+        lines = stage(lines, "lines")
     return slice_documents(lines, LINE_ORDER, offset, total)
 
 

@@ -18,9 +18,9 @@ from loadlab.operators import (
     arrivals, attribution, cooldown, hits, inverted, nodes, pseudonyms, reports, requests, sequence, shaped, sketches
 )
 from loadlab.plans import given_tables as given, indexes, loadspecs, reports as reports_job
-from loadlab.sources import readers, writers
+from loadlab.sources import bucketed, readers, writers
 from loadlab.session import new_folder, prepare, stage
-from loadlab.streaming import batches, delays, late, loadspec as loadspec_stream, ordered, slowlog as slowlog_stream, ticks
+from loadlab.streaming import attribution as attribution_stream, batches, delays, late, loadspec as loadspec_stream, ordered, slowlog as slowlog_stream, ticks
 from loadlab.streaming.pseudonyms import stream_pseudonymise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,6 +561,23 @@ def request_attribution(spark, sf_dir):
     return attribution.attribute(attribution.request_rows(attempts), spec)
 
 
+@query(
+    "attribution_bucketed",
+    JOINED + """ SELECT id, ts, code, took_in_millis, latency_micros, url, source FROM sent WHERE code IS NOT NULL""",
+)
+def attribution_bucketed(spark, sf_dir):
+    """The same from tables kept in buckets of the id: bucket joins bucket."""
+    spec, attempts = replayed(spark, sf_dir)
+    folder = new_folder(spark, "buckets")
+    name = "t" + folder.rsplit("-", 1)[1]
+    bucketed.write_loadspec_table(spec, f"{name}_loadspec", f"{folder}/loadspec", buckets=32)
+    bucketed.write_request_table(attribution.request_rows(attempts), f"{name}_requests", f"{folder}/requests", buckets=32)
+    return attribution.attribute(
+        bucketed.open_request_table(spark, f"{name}_requests", f"{folder}/requests", 32),
+        bucketed.open_loadspec_table(spark, f"{name}_loadspec", f"{folder}/loadspec", 32),
+    )
+
+
 @query("unsent_requests", JOINED + " SELECT id, url, source FROM sent WHERE code IS NULL")
 def unsent_requests(spark, sf_dir):
     spec, attempts = replayed(spark, sf_dir)
@@ -1147,6 +1164,45 @@ def stream_loadspec(spark, sf_dir):
     return loadspec_stream.read_loadspec(spark, folder)
 
 
+def sent_and_answered(spark, sf_dir, part) -> DataFrame:
+    """Loadspec entries and responses as two streams; a last pair, far behind all others, closes the test."""
+    spec, attempts = replayed(spark, sf_dir)
+    came_back = attribution.request_rows(attempts)
+    times = attempts.select("id", F.timestamp_seconds("ts").alias("sent_time"))
+    entries = spec.select("id", "url", "source").join(times, "id")
+    answers = came_back.select("id", "code", F.timestamp_seconds(F.col("ts") + 1).alias("time"))
+    kinds = entries.select("id", "url", "source", "sent_time", F.lit(None).cast("int").alias("code"), F.lit(None).cast("timestamp").alias("time"))
+    kinds = kinds.unionByName(answers, allowMissingColumns=True)
+    moment = F.coalesce("sent_time", "time")
+    far = kinds.agg((F.max(moment) + F.expr("INTERVAL 30 DAYS")).alias("far")).select(
+        F.explode(F.expr("array(-1L, -2L)")).alias("id"), "far"
+    )
+    closing = far.select("id", F.when(F.col("id") == -1, F.col("far")).alias("sent_time"), F.when(F.col("id") == -2, F.col("far")).alias("time"))
+    rows = stage(kinds.unionByName(closing, allowMissingColumns=True).withColumn("at", F.unix_seconds(moment)), "two-streams")
+    # The closing pair arrives with the rest of the test, not a month later.
+    last = rows.where("id >= 0").agg(F.max("at")).first()[0]
+    rows = rows.withColumn("at", F.least("at", F.lit(last)))
+
+    def joined(stream):
+        sent = stream.where("sent_time is not null").select("id", "url", "source", "sent_time")
+        responses = stream.where("time is not null").select("id", "code", "time")
+        return part(attribution_stream.attributed(sent, responses, 60, watermark="10 minutes"))
+
+    return written(spark, rows, "at", joined).where("id >= 0")
+
+
+@query("stream_unsent", JOINED + " SELECT id, url, source FROM sent WHERE code IS NULL")
+def stream_unsent(spark, sf_dir):
+    """Entries that leave without a response once the watermark has passed the time for one."""
+    return sent_and_answered(spark, sf_dir, attribution_stream.unsent).select("id", "url", "source")
+
+
+@query("stream_attribution", JOINED + " SELECT id, url, source, code FROM sent WHERE code IS NOT NULL")
+def stream_attribution(spark, sf_dir):
+    """Responses joined with their entries as they come."""
+    return sent_and_answered(spark, sf_dir, attribution_stream.answered).select("id", "url", "source", "code")
+
+
 @query(
     "stream_slowlog",
     f"""WITH {LOG} SELECT ts_nanos, body, host || '/' || event_type || '/' || types || '/_search?search_type=' || search_type AS url
