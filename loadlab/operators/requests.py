@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from loadlab import fixed_values as fixed
 from loadlab.functions import bodies, slowlog
 from loadlab.operators.sequence import in_order
+from loadlab.session import fits_broadcast, stage
 
 
 def _evaluated(df: DataFrame, struct: Column) -> DataFrame:
@@ -90,13 +91,39 @@ def fail_on_reject(parsed: DataFrame, line: str = "value") -> DataFrame:
     return parsed.withColumn("reason", checked)
 
 
-def override_index(requests: DataFrame, indexes: list[str], input_order: list[str] = ("ord",), first: int = 0) -> DataFrame:
-    """The k-th request in input order goes to ``indexes[k % n]``; ``first`` is the k of the first one here."""
-    numbered = in_order(requests, list(input_order), position="_kept")
+def override_index(
+    requests: DataFrame, indexes: list[str], input_order: list[str] = ("ord",), first: int = 0, block: list[str] = ()
+) -> DataFrame:
+    """The k-th request in input order goes to ``indexes[k % n]``; ``first`` is the k of the first one here.
+
+    With ``block``, the columns that name the part of a file a row was read from, rows stay
+    where they are (:func:`numbered_in_place`); otherwise they are sorted.
+    """
+    if block:
+        numbered = numbered_in_place(requests, list(block))
+    else:
+        numbered = in_order(requests, list(input_order), position="_kept")
     choice = F.element_at(F.array(*[F.lit(i) for i in indexes]), ((F.col("_kept") + first) % len(indexes) + 1).cast("int"))
     return numbered.withColumn("index", choice).drop("_kept")
 
 
+def numbered_in_place(requests: DataFrame, block: list[str]) -> DataFrame:
+    """Staged ``requests`` with ``_kept``, their dense position in input order, without a sort.
+
+    For rows just read from files: the rows of a ``block``, a part of a file, are read by one task and in order, and blocks in
+    the order of their columns are the input.  A row's place in its block comes with staging; blocks are counted
+    and their offsets, a row per block, are joined to the rows.
+    """
+    rows = stage(requests.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    blocks = rows.groupBy(*block).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1))
+    blocks = stage(blocks.select(*block, "_first", F.coalesce(before, F.lit(0)).alias("_offset")), "blocks")
+    texts = [c for c in block if blocks.schema[c].dataType.simpleString() == "string"]
+    beside = F.broadcast(blocks) if fits_broadcast(blocks, texts) else blocks
+    kept = F.col("_offset") + F.col("_at") - F.col("_first")
+    return rows.join(beside, block).withColumn("_kept", kept).drop("_at", "_first", "_offset")
+
+
 def with_url(requests: DataFrame, server: str | None = None) -> DataFrame:
     """Add the request URL; ``server`` replaces the logged host by its host part."""
     host: Column = F.lit(slowlog.server_part(server)) if server else F.col("host")

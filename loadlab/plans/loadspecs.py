@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation
 from loadlab import fixed_values as fixed
 from loadlab.operators import arrivals, requests, sequence
 from loadlab.session import prepare, stage
+from loadlab.sources.readers import LINE_ORDER
 
 COLUMNS = ["id", "delay_since_last_nanos", "url", "source"]
 
@@ -27,7 +28,7 @@ def from_slowlog(
 
     ``lines`` has ``value`` and the ``order`` columns that identify a line in
     input order (ties in time keep it).  ``server`` replaces the logged host,
-    ``indexes`` the logged index in turn; ``pseudonymise`` maps the request rows
+    ``indexes`` the logged index in turn (for lines just read, ``order=LINE_ORDER``, without a sort); ``pseudonymise`` maps the request rows
     (JSON in ``body``) before they are sequenced.  ``keep`` carries further
     columns of ``lines`` along.  Invalid lines are left out (see
     :func:`loadlab.operators.requests.rejects`) or, with ``fail_on_reject``,
@@ -52,11 +53,16 @@ def from_slowlog(
     else:
         parsed = requests.replayable(lines)
     needed = parsed.select(*order, *keep, "ts_nanos", "host", "index", "types", "search_type", "body")
-    # Lines are matched once; sampling, cutting and sorting then read columns.
-    rows = stage(needed, "requests")
+    # Lines as they were read from files know their place; they are numbered where they lie, while they are staged.
+    in_place = bool(indexes) and order == LINE_ORDER
+    if in_place:
+        rows = requests.override_index(needed, list(indexes), block=LINE_ORDER[:2])
+    else:
+        # Lines are matched once; sampling, cutting and sorting then read columns.
+        rows = stage(needed, "requests")
     if max_reject_share is not None:
         requests.check_share(observed.get, max_reject_share)
-    if indexes:
+    if indexes and not in_place:
         rows = requests.override_index(rows, list(indexes), order)
     if pseudonymise is not None:
         rows = stage(pseudonymise(rows), "pseudonymised")

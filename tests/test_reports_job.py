@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from loadlab import fixed_values as fixed, session
-from loadlab.operators import reports as report_ops
+from loadlab.operators import reports as report_ops, requests
 from loadlab.plans import loadspecs, reports
+from loadlab.sources import readers
 from test_hits_and_reports import attempts, rows
 from test_slowlog import BARE, FULL
 
@@ -95,3 +96,28 @@ def test_lines_are_counted_on_the_way(spark):
     assert loadspecs.from_slowlog(df, max_reject_share=0.4).count() == 5
     with pytest.raises(ValueError, match="3 of 9"):
         loadspecs.from_slowlog(df, max_reject_share=0.2)
+
+
+def test_indexes_go_round_without_a_sort(spark, tmp_path):
+    for file, count in (("a", 60), ("b", 1), ("c", 45)):
+        lines = [FULL.replace("08:15:59,041", f"08:{i % 60:02d}:{(i * 7) % 60:02d},{i:03d}") if i % 4 else "junk" for i in range(count)]
+        (tmp_path / f"{file}.log").write_text("".join(line + "\n" for line in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # Files in several splits, and several files in a task.
+    for size in ("4000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            lines = readers.read_slowlog(spark, str(tmp_path))
+            got = loadspecs.from_slowlog(lines, indexes=["x", "y", "z"], order=readers.LINE_ORDER)
+            sorted_ = requests.override_index(requests.replayable(lines), ["x", "y", "z"], readers.LINE_ORDER)
+            placed = requests.override_index(requests.replayable(lines), ["x", "y", "z"], block=readers.LINE_ORDER[:2])
+            columns = ["file", "block", "line", "index", "_kept"]
+            keys = [c for c in columns if c != "_kept"]
+            assert sorted(map(tuple, placed.select(keys).collect())) == sorted(map(tuple, sorted_.select(keys).collect()))
+            assert "repartitionbyrange" not in placed._jdf.queryExecution().toString().lower()
+            assert got.count() == 45 + 0 + 33
+            assert {r.u for r in got.selectExpr("split(url, '/')[1] as u").collect()} == {"x", "y", "z"}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
