@@ -52,7 +52,9 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component_id`` of every end of a link: the smallest id it reaches.
 
-    Links are contracted to stars where they lie.  Then large and small stars alternate: every node links its larger
+    Links are contracted to stars where they lie, so a node has at most one link a task.  These meet once by node: it keeps the one with its
+    smallest neighbour, and its other neighbours are linked to that one, so that what is shuffled from then on is little more than a
+    forest.  Then large and small stars alternate: every node links its larger
     neighbours, then its smaller ones, to the smallest it sees, until nobody
     is both a centre and a ray.  The number of rounds grows with the logarithm of the
     longest path.  Minima are combined before they are shuffled, so a node with very many
@@ -60,7 +62,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     execution splits.  Every round is a table in the shared folder.
     """
     ends = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    stars = stage(ends.mapInArrow(_contract, "u bigint, v bigint"), "links")
+    neighbours = ends.mapInArrow(_contract, "u bigint, v bigint").groupBy("u").agg(F.collect_set("v").alias("all"))
+    least = neighbours.select("u", "all", F.array_min("all").alias("v"))
+    others = least.select(F.explode(F.array_remove("all", F.col("v"))).alias("u"), "v")
+    forest = least.select("u", "v").unionByName(others.distinct())
+    stars = stage(forest.mapInArrow(_contract, "u bigint, v bigint"), "links")
     # As many tasks as there are pieces of links, not more.
     tasks = max(1, stars.rdd.getNumPartitions())
     while not stars.join(stars.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() or _shared(stars):
