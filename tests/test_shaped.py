@@ -1,6 +1,8 @@
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loadlab import session
 from loadlab.functions import documents, shapes
@@ -67,3 +69,13 @@ def test_shape_in_the_order_of_the_text(spark):
     assert shapes.common_shape(df.where("body = 'junk'")) is None
     rows = df.selectExpr("body").collect()
     assert json.loads(rows[0].body)["user"] == "ann"
+
+
+def test_long_bodies_go_to_python_in_batches_of_bounded_size(spark):
+    @F.pandas_udf("long")
+    def together(bodies: pd.Series) -> pd.Series:
+        return pd.Series([int(bodies.str.len().sum())] * len(bodies))
+
+    bodies = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("body"))
+    most = bodies.select(together("body").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= session.BATCH_BYTES + 10_000
