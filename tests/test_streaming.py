@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loadlab.plans import given_tables
 from loadlab.streaming import batches, delays, slowlog, ticks
 from loadlab.sources import readers
 from test_slowlog import BARE, FULL
@@ -98,3 +99,22 @@ def test_slowlog_stream(spark, tmp_path):
         writer.option("path", str(tmp_path / name / "o")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ok" / "o")).count() == 2
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "bad" / "o")).collect()] == ["no match"]
+
+
+def test_a_replay_renders_its_rows_once(spark, tmp_path):
+    rendered = spark.sparkContext.accumulator(0)
+
+    def render(i):
+        rendered.add(1)
+        return i * 10
+
+    rows = spark.range(100, numPartitions=2).withColumn("at", F.udf(render, "long")("id"))
+    out = str(tmp_path / "out")
+
+    def start(stream):
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+        return writer.trigger(availableNow=True).start()
+
+    given_tables.replay(rows, "at", start, delayed=F.col("id") % 7 == 0)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(i, i * 10) for i in range(100)]
+    assert rendered.value == 100
