@@ -2,8 +2,12 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from loadlab.llm import lm
+from loadlab.session import shared_dir
 
 
 def words(text):
@@ -108,3 +112,42 @@ def test_other_background(spark):
     for r in got:
         w = words(dict(docs)[r.doc_id])
         assert abs(r.target_loss - loss(t, 1.0, w)) < 1e-6 and abs(r.background_loss - loss(b, 5 / 6, w)) < 1e-6
+
+
+@pytest.mark.parametrize("head, often", [(0, 0), (1, 30), (12, 0), (12, 8), (1 << 19, 0)])
+def test_what_is_sent_changes_nothing(spark, monkeypatch, head, often):
+    """Words and pairs that are not sent meet in the shuffle, of the documents as the background and of another one."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    new = lambda n: " ".join(draw.choices(vocabulary, weights, k=n))
+    docs = [(f"d{i}", new(draw.randrange(0, 50))) for i in range(60)] + [("none", None), (None, "w1 w2 once w1 w2"), ("d3", "once"), ("x", "w59 w59 w59")]
+    target, other = [(new(20),) for _ in range(30)] + [(None,), ("w59 w58",)], [(new(25),) for _ in range(20)] + [("w59",)]
+    monkeypatch.setattr(lm, "HEAD", head, raising=False)
+    monkeypatch.setattr(lm, "PAIRS", often, raising=False)
+    monkeypatch.setattr(lm, "_OFTEN", 1, raising=False)
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "i long, doc_id string, text string").repartition(3)
+    for background in (None, other):
+        t, b = model(x[0] for x in target), model(x[0] for x in background) if background else model(x[1] for x in docs)
+        scale = sum(t[0].values()) / sum(b[0].values())
+        args = [spark.createDataFrame(x, "text string") for x in (target, background) if x]
+        got = lm.cross_entropy_difference(df, *args, key="i").collect()
+        assert sorted(r.i for r in got) == list(range(len(docs)))
+        for r in got:
+            w = words(docs[r.i][1])
+            assert r.n_tokens == len(w)
+            if w:
+                assert abs(r.target_loss - loss(t, 1.0, w)) < 1e-9 and abs(r.background_loss - loss(b, scale, w)) < 1e-9
+            else:
+                assert r.target_loss is None and r.score is None
+
+
+def test_no_table_of_pairs_is_written(spark):
+    """Nearly all pairs are found once: what is staged holds words and frequent pairs, a small part of the texts."""
+    draw = random.Random(12)
+    docs = [(i, " ".join(f"w{draw.randrange(3_000)}" for _ in range(1_000))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    staged = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before = staged()
+    assert lm.cross_entropy_difference(df, df.limit(20)).count() == 300
+    assert staged() - before < 0.2 * sum(len(d[1]) for d in docs)
