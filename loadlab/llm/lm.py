@@ -32,7 +32,7 @@ WORD_BITS = 20
 #: Words sent to all executors, 24 bytes each.  The others meet in a shuffle: results do not depend on it.
 HEAD = 1 << 19
 #: Pairs sent to all executors, 24 bytes each.
-PAIRS = 1 << 18
+PAIRS = 1 << 19
 #: A pair found as often among ``_AT_ONCE`` tokens may be sent.
 _OFTEN = 4
 #: Tokens a task holds before it hands their counts on.
@@ -211,7 +211,7 @@ def _score(sent, model: _Model, itself: bool):
 
     Such a pair adds for now what it does where nothing else has it."""
 
-    names = ["key", "sub", "rid", "n", "own"]
+    names = ["key", "sub", "rid", "n", "k", "t", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (_, *seen), (_, *pairs) = sent.value
@@ -234,14 +234,14 @@ def _score(sent, model: _Model, itself: bool):
                     sums.append(np.bincount(row, add, minlength=len(n)).astype(float))
                 rid = part.column("rid").to_numpy()
                 spread = ((mix(rid.astype(np.uint64)) & (_MIXED - np.uint64(1))) | _MIXED).view(np.int64)
-                own = pa.StructArray.from_arrays([part.column("k"), *map(pa.array, (n, *sums))], names=["k", "n", "t", "b"])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, np.zeros_like(rid), rid, n)), own], names=names)
+                own = [part.column("k"), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, np.zeros_like(rid), rid, n)), *own], names=names)
                 # A word before that is not sent adds its part where it is counted.
                 rare = np.flatnonzero((past < 0) & ~begins)
                 asked = _word_key(words.hash[rare - 1])
                 key, sub = np.concatenate([key, asked]), np.concatenate([sub, np.full(len(rare), _ALONE)])
                 key, sub, of, often = _merged(key, sub, np.concatenate([row[open_], row[rare]]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, sub, rid[of], often)), pa.nulls(len(of), own.type)], names=names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, sub, rid[of], often)), *[pa.nulls(len(of), c.type) for c in own]], names=names)
 
     return run
 
@@ -251,11 +251,9 @@ def _meet(sent, model: _Model, itself: bool):
     names = ["rid", "k", "n", "t", "b"]
 
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        own = table.filter(table["own"].is_valid())
-        for batch in own.to_batches():
-            values = batch.column("own").flatten()
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), *values], names=names)
-        rest = table.filter(table["own"].is_null())
+        # Documents' own rows have sums.
+        yield from table.filter(table["t"].is_valid()).select(names).to_batches()
+        rest = table.filter(table["t"].is_null())
         key, sub, rid, n = (rest[c].to_numpy() for c in ("key", "sub", "rid", "n"))
         if not len(key):
             return
@@ -289,7 +287,7 @@ def _meet(sent, model: _Model, itself: bool):
         rids, to = np.unique(rid[wanted], return_inverse=True)
         if len(rids):
             added = [pa.array(np.bincount(to, s[wanted], minlength=len(rids))) for s in sums]
-            none = [pa.nulls(len(rids), table["own"].type[i].type) for i in (0, 1)]
+            none = [pa.nulls(len(rids), table[c].type) for c in ("k", "n")]
             yield pa.RecordBatch.from_arrays([pa.array(rids), *none, *added], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +342,10 @@ def cross_entropy_difference(
     source = documents.select(documents[key].alias("k"), documents[text].alias("text"))
     kind = source.schema["k"].dataType.simpleString()
     numbered = source.select(F.monotonically_increasing_id().alias("rid"), "k", "text")
-    counted, own = "key bigint, sub bigint, rid bigint, n bigint", f"struct<k: {kind}, n: bigint, t: double, b: double>"
-    rows = numbered.mapInArrow(_score(sent, model, itself), f"{counted}, own {own}")
+    counted, own = "key bigint, sub bigint, rid bigint, n bigint", {"k": kind, "t": "double", "b": "double"}
+    rows = numbered.mapInArrow(_score(sent, model, itself), f"{counted}, k {kind}, t double, b double")
     for texts, number in [(of_target, _TARGET), *([] if itself else [(of_background, _BACKGROUND)])]:
-        rows = rows.unionByName(texts.mapInArrow(_others(sent, number), counted).withColumn("own", F.lit(None).cast(own)))
+        rows = rows.unionByName(texts.mapInArrow(_others(sent, number), counted).select("*", *[F.lit(None).cast(t).alias(c) for c, t in own.items()]))
     dealt = rows.repartition("key").sortWithinPartitions("key")
     added = dealt.mapInArrow(_meet(sent, model, itself), f"rid bigint, k {kind}, n bigint, t double, b double")
     sums = added.groupBy("rid").agg(F.first("k", ignorenulls=True).alias("k"), F.max("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
